@@ -1,0 +1,19 @@
+"""Broadcasting behind a measured size."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 500_000
+
+
+def measured_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, hinted for broadcast only when its counted rows stay under ``max_rows``.
+
+    The (narrow, already reduced) rows are kept so that counting and joining compute them once.
+    Above the limit the join stays a shuffled one and AQE splits its skewed partitions.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    few = kept.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(kept) if few else kept
