@@ -1,11 +1,15 @@
-"""IP addresses and networks as column expressions: no Python worker is involved.
+"""IP addresses and networks as columns.
 
 An address is ``(family, hi, lo)``: two BIGINT halves of 128 bits, with ``hi`` 0 for IPv4.
-That makes "is this address inside that network" an equality of masked halves.
+That makes "is this address inside that network" an equality of masked halves.  Validity and everything about IPv4
+are JVM expressions.
 """
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -60,47 +64,32 @@ def ipv4_number(text: Column) -> Column:
             .bitwiseOR(F.shiftleft(_octet(parts, 2), 8)).bitwiseOR(_octet(parts, 3)))
 
 
-def with_address(df: DataFrame, text: str, out: str = "") -> DataFrame:
-    """Add ``{out}family, {out}hi, {out}lo``; all null when the text is no address.
-
-    Written as a chain of projections so that no step repeats the expressions before it.
-    """
-    keep = df.columns
-    raw = F.lower(F.regexp_replace(text, "%.*$", ""))
-    step = df.select(
-        *keep,
-        F.when(is_ipv4(F.col(text)), 4).when(F.lower(text).rlike(IPV6_RE), 6).alias("_family"),
-        F.when(F.contains(F.col(text), F.lit(":")), raw).alias("_v6"))
-    # An IPv4 tail counts as two groups.
-    step = step.withColumn("_tail", ipv4_number(F.regexp_extract("_v6", r"([0-9.]+[.][0-9.]+)$", 1)))
-    step = step.withColumn("_v6", F.when(F.col("_tail").isNull(), F.col("_v6")).otherwise(F.concat(
-        F.regexp_replace("_v6", r"[0-9.]+[.][0-9.]+$", ""),
-        F.lower(F.hex(F.shiftright("_tail", 16))), F.lit(":"),
-        F.lower(F.hex(F.col("_tail").bitwiseAND(F.lit(0xFFFF)))))))
-    step = step.withColumn("_sides", F.split("_v6", "::"))
-
-    def groups(side: int) -> Column:
-        text = F.get("_sides", F.lit(side))
-        return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(
-            F.split(text, ":"))
-
-    step = step.withColumns({"_left": groups(0), "_right": groups(1)})
-    fill = F.greatest(F.lit(0), F.lit(8) - F.size("_left") - F.size("_right"))
-    step = step.withColumn("_groups", F.concat("_left", F.array_repeat(F.lit("0"), fill), "_right"))
-
-    def half(first: int) -> Column:
-        value = F.lit(0).cast("bigint")
-        for i in range(4):
-            word = F.conv(F.get("_groups", F.lit(first + i)), 16, 10).try_cast("bigint")
-            value = value.bitwiseOR(F.shiftleft(word, 48 - 16 * i))
-        return value
-
-    v4, v6 = F.col("_family") == 4, F.col("_family") == 6
+def _signed(word: int) -> int:
+    """64 bits as a signed BIGINT."""
+    return word - (1 << 64) if word >> 63 else word
+
+
+def _v6_halves(text: pd.Series) -> pd.DataFrame:
+    """Halves of valid IPv6 text (null elsewhere): the one spelling too irregular for SQL."""
+    def halves(t):
+        if t is None:
+            return None, None
+        n = int(ipaddress.IPv6Address(t))
+        return _signed(n >> 64), _signed(n & (1 << 64) - 1)
+    return pd.DataFrame([halves(t) for t in text], columns=["hi", "lo"], dtype="Int64")
+
+
+def with_address(df: DataFrame, text: str) -> DataFrame:
+    """Add ``family, hi, lo``; all null when the text is no address.  Run it on distinct texts:
+    IPv4 stays in the JVM, IPv6 takes an Arrow batch through Python."""
+    family = F.when(is_ipv4(F.col(text)), 4).when(F.lower(text).rlike(IPV6_RE), 6)
+    step = df.withColumn("family", family)
+    v6_halves = F.pandas_udf(_v6_halves, "hi long, lo long")
+    step = step.withColumn("_v6", v6_halves(F.when(F.col("family") == 6, F.col(text))))
     return step.select(
-        *keep,
-        F.col("_family").alias(f"{out}family"),
-        F.when(v4, F.lit(0).cast("bigint")).when(v6, half(0)).alias(f"{out}hi"),
-        F.when(v4, ipv4_number(F.col(text))).when(v6, half(4)).alias(f"{out}lo"))
+        *df.columns, "family",
+        F.when(F.col("family") == 4, F.lit(0).cast("bigint")).otherwise(F.col("_v6.hi")).alias("hi"),
+        F.when(F.col("family") == 4, ipv4_number(F.col(text))).otherwise(F.col("_v6.lo")).alias("lo"))
 
 
 def _ones(bits_cleared: Column) -> Column:
@@ -118,58 +107,23 @@ def masked(family: Column, hi: Column, lo: Column, prefix: Column) -> tuple[Colu
             lo.bitwiseAND(_ones(lo_clear)))
 
 
-def _prefix_length(text: Column, family: Column) -> Column:
-    """Prefix length written as digits, netmask or host mask (IPv4); null when illegal."""
-    digits = F.when(text.rlike("^[0-9]{1,6}$"), text.try_cast("int"))
-    limit = F.when(family == 6, 128).otherwise(32)
-    mask = ipv4_number(text)
-    inverse = F.lit(0xFFFFFFFF).cast("bigint") - mask
-
-    def contiguous(low_ones: Column) -> Column:
-        return low_ones.bitwiseAND(low_ones + 1) == 0
-
-    dotted = F.when((family == 4) & is_ipv4(text),
-                    F.when(contiguous(inverse), F.lit(32) - F.bit_count(inverse))
-                    .when(contiguous(mask), F.lit(32) - F.bit_count(mask)))
-    return F.coalesce(F.when(digits <= limit, digits), dotted)
+def _network(text: pd.Series) -> pd.DataFrame:
+    """An address or CIDR (prefix digits, netmask or host mask), host bits cleared."""
+    def parts(t):
+        try:
+            net = ipaddress.ip_network((t or "").strip(), strict=False)
+        except ValueError:
+            return None, None, None, None, None
+        n = int(net.network_address)
+        return net.version, net.prefixlen, _signed(n >> 64), _signed(n & (1 << 64) - 1), str(net)
+    out = pd.DataFrame([parts(t) for t in text], columns=["family", "prefix", "hi", "lo", "entry"], dtype=object)
+    return out.astype({"family": "Int32", "prefix": "Int32", "hi": "Int64", "lo": "Int64"})
 
 
 def with_network(df: DataFrame, text: str) -> DataFrame:
-    """Add ``family, prefix, hi, lo`` of an address or CIDR text, host bits cleared; all null
-    when the text is neither."""
-    keep = df.columns
-    step = df.withColumn("_parts", F.split(F.trim(text), "/"))
-    step = step.withColumn("_base", F.get("_parts", F.lit(0)))
-    step = with_address(step, "_base", "_a_")
-    family = F.col("_a_family")
-    prefix = (F.when(F.size("_parts") == 1, F.when(family == 6, 128).otherwise(32))
-              .when(F.size("_parts") == 2, _prefix_length(F.get("_parts", F.lit(1)), family)))
-    step = step.withColumn("_prefix", F.when(family.isNotNull(), prefix))
-    known = F.col("_prefix").isNotNull()
-    hi, lo = masked(family, F.col("_a_hi"), F.col("_a_lo"), F.col("_prefix"))
-    return step.select(*keep, F.when(known, family).alias("family"),
-                       F.col("_prefix").cast("int").alias("prefix"),
-                       F.when(known, hi).alias("hi"), F.when(known, lo).alias("lo"))
-
-
-def with_address_text(df: DataFrame, out: str = "canonical") -> DataFrame:
-    """Canonical text of the address in ``family, hi, lo``."""
-    keep = df.columns
-    v4 = F.concat_ws(".", *[F.shiftright("lo", 24 - 8 * i).bitwiseAND(F.lit(255)).cast("string")
-                            for i in range(4)])
-    words = [F.lower(F.hex(F.shiftrightunsigned(half, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))))
-             for half in ("hi", "lo") for i in range(4)]
-    step = df.withColumn("_plain", F.concat_ws(":", *words))
-    text = F.col("_plain")
-    for run in range(2, 9):      # tested from the longest zero run down: the first of it is cut
-        pattern = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}((?::[0-9a-f]+)*)$"
-        short = F.concat(F.rtrim(F.regexp_extract("_plain", pattern, 1), F.lit(":")), F.lit("::"),
-                         F.ltrim(F.regexp_extract("_plain", pattern, 2), F.lit(":")))
-        text = F.when(F.col("_plain").rlike(pattern), short).otherwise(text)
-    return step.select(*keep, F.when(F.col("family") == 4, v4).when(F.col("family") == 6, text).alias(out))
-
-
-def with_network_text(df: DataFrame, out: str = "canonical") -> DataFrame:
-    """Canonical ``address/prefix`` text of the network in ``family, prefix, hi, lo``."""
-    step = with_address_text(df, "_net")
-    return step.select(*df.columns, F.concat("_net", F.lit("/"), F.col("prefix").cast("string")).alias(out))
+    """Add ``family, prefix, hi, lo`` and the canonical ``entry`` text of blocklist entries; all
+    null when the text is neither address nor network."""
+    keep = [c for c in df.columns if c != "entry"]
+    network = F.pandas_udf(_network, "family int, prefix int, hi long, lo long, entry string")
+    return df.withColumn("_net", network(F.col(text))).select(
+        *keep, "_net.family", "_net.prefix", "_net.hi", "_net.lo", "_net.entry")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.ip import masked, with_address, with_address_text, with_network, with_network_text
+from ..functions.ip import masked, with_address, with_network
 
 ENTRY = "entry string, source string, ord bigint"
 
@@ -20,8 +20,7 @@ def intake(entries: DataFrame) -> DataFrame:
     Invalid text is dropped.  ``host`` marks single addresses; when several entries name one
     host the last one counts, networks keep every entry.
     """
-    nets = with_network(entries, "entry").where(F.col("family").isNotNull()).drop("entry")
-    nets = with_network_text(nets, "entry")
+    nets = with_network(entries, "entry").where(F.col("family").isNotNull())
     nets = nets.withColumn("host", F.col("prefix") == F.when(F.col("family") == 6, 128).otherwise(32))
     latest = Window.partitionBy("entry").orderBy(F.col("ord").desc())
     return (nets.withColumn("_again", F.row_number().over(latest))
@@ -40,14 +39,13 @@ def merge_feeds(feeds: DataFrame, static: DataFrame | None = None) -> DataFrame:
     first = Window.partitionBy("entry").orderBy("feed_ord", "ord")
     merged = feeds.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
     if static is not None:
-        merged = merged.join(with_network_text(with_network(static, "entry").drop("entry"), "entry")
-                             .select("entry"), "entry", "left_anti")
+        merged = merged.join(with_network(static, "entry").select("entry"), "entry", "left_anti")
     return merged
 
 
 def combined_view(feeds: DataFrame, static: DataFrame) -> DataFrame:
     """``entry, source`` of static and feed entries together; static wins."""
-    fixed = with_network_text(with_network(static, "entry").drop("entry"), "entry")
+    fixed = with_network(static, "entry")
     both = fixed.select("entry", F.lit("static").alias("source"), F.lit(0).alias("kind"),
                         F.lit(0).alias("feed_ord"), "ord").unionByName(
         feeds.select("entry", "source", F.lit(1).alias("kind"), F.col("feed_ord").cast("int").alias("feed_ord"), "ord"))
@@ -81,8 +79,3 @@ def listed(addresses: DataFrame, static: DataFrame, feeds: DataFrame | None = No
     return hits.groupBy("ip").agg((F.min("kind") == 0).alias("static_hit"),
                                   F.min_by("source", rank).alias("source"))
 
-
-def canonical(addresses: DataFrame, text: str = "ip", out: str = "canonical") -> DataFrame:
-    """Add the canonical spelling of an address column."""
-    found = with_address_text(with_address(addresses, text), out)
-    return found.drop("family", "hi", "lo")
