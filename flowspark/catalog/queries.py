@@ -551,9 +551,9 @@ def _(spark, d):
 def _with_header(header: str):
     def add(batches):
         import pyarrow as pa
-        yield pa.record_batch([pa.array([header])], names=["value"])
+        yield pa.record_batch([pa.array([header], pa.string())], names=["value"])
         for b in batches:
-            yield b.select(["value"])
+            yield pa.record_batch([b.column(1).cast(pa.string())], names=["value"])
     return add
 
 

@@ -22,9 +22,9 @@ PROTOCOL_NAMES = {
     136: "UDPLITE", 137: "MPLS-IN-IP",
 }
 
-# Accepted spellings besides ISO dates and epoch numbers, in the order they are tried.
-CLOCKS = ("H:m[:s][.SSSSSS]", "h:m[:s] a")
-OTHER_DATES = ("d MMM yyyy", "d-MMM-yyyy", "d/MMM/yyyy", "MMM d yyyy", "MMM d, yyyy")
+# Spellings with month names or AM/PM, in the order they are tried.
+NAMED = ("d MMM yyyy[ H:m[:s]]", "d-MMM-yyyy[ H:m[:s]]", "d/MMM/yyyy[ H:m[:s]]", "MMM d yyyy[ H:m[:s]]",
+         "MMM d, yyyy[ H:m[:s]]")
 
 
 def number(text: Column) -> Column:
@@ -37,39 +37,35 @@ def whole_number(text: Column, low: int, high: int | None) -> Column:
     return F.when(ok & (x <= high) if high is not None else ok, x.try_cast("bigint"))
 
 
-def _with_clock(text: Column, dates: tuple[str, ...]) -> Column:
-    tries = []
-    for date in dates:
-        tries += [F.try_to_timestamp(text, F.lit(f"{date} {clock}")) for clock in CLOCKS]
-        tries.append(F.try_to_timestamp(text, F.lit(date)))
-    return F.coalesce(*tries)
-
-
 def timestamp(text: Column, dayfirst: bool = False) -> Column:
     """Epoch seconds or milliseconds, ISO text (with or without offset), and common date texts.
 
     Text with an offset becomes UTC; text without one is kept as written (the session zone is
     UTC).  ``dayfirst`` decides d/M against M/d; an impossible reading falls back to the other.
+    Dates written in digits are rewritten to ISO and cast, so a row costs one parse.
     """
     epoch = number(text)
     seconds = F.when(epoch < EPOCH_MILLIS_FROM, epoch).otherwise(epoch / 1000.0)
     from_epoch = F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint"))
 
-    numeric_date = r"^[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}(?:[ T].*)?$"
-    slashed = F.regexp_replace(text, r"^([0-9]{1,2})[-./]([0-9]{1,2})[-./]([0-9]{4})[ T]*", "$1/$2/$3 ")
-    slashed = F.rtrim(slashed)
-    day, month = "d/M/yyyy", "M/d/yyyy"
-    from_numeric = _with_clock(slashed, (day, month) if dayfirst else (month, day))
-
-    year_first = F.regexp_replace(text, r"^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})", "$1-$2-$3")
-    # Two-digit offsets and a blank before the offset are legal in logs, not in a cast.
-    year_first = F.regexp_replace(year_first, r"\s*([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
-    iso = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T].*)?$"
-    is_number = text.rlike(NUMBER)
-    return (F.when(is_number & (epoch > 0), from_epoch)
-            .when(~is_number & year_first.rlike(iso), year_first.try_cast("timestamp"))
-            .when(text.rlike(numeric_date), from_numeric)
-            .when(text.rlike("[A-Za-z]{3}"), _with_clock(text, OTHER_DATES)))
+    # 2017/07/03 10:00, 2017-07-03T10:00:00 +0200
+    iso = F.regexp_replace(text, r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"\s*([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+
+    parts = r"^([0-9]{1,2})[-./]([0-9]{1,2})[-./]([0-9]{4})[ T]*(.*)$"
+    day_month = F.rtrim(F.regexp_replace(text, parts, "$3-$2-$1 $4")).try_cast("timestamp")
+    month_day = F.rtrim(F.regexp_replace(text, parts, "$3-$1-$2 $4")).try_cast("timestamp")
+    digits = F.coalesce(day_month, month_day) if dayfirst else F.coalesce(month_day, day_month)
+
+    clock = " h:m[:s] a"
+    dates = ("d/M/yyyy", "M/d/yyyy") if dayfirst else ("M/d/yyyy", "d/M/yyyy")
+    halves = F.coalesce(*[F.try_to_timestamp(F.upper(text), F.lit(d + clock)) for d in (*dates, "yyyy-M-d")])
+    named = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in NAMED])
+    return (F.when(text.rlike(NUMBER), F.when(epoch > 0, from_epoch))
+            .when(text.rlike("(?i)[0-9] ?[AP]M$"), halves)
+            .when(text.rlike("^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:[ T].*)?$"), iso.try_cast("timestamp"))
+            .when(text.rlike(parts), digits)
+            .when(text.rlike("[A-Za-z]{3}"), named))
 
 
 def port(text: Column, missing_as_zero: bool = False) -> Column:

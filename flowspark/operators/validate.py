@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fields
 from ..functions.ip import is_ip
+from .once import once
 from ..schema import FLOW_FIELDS
 from ..sources.profiles import Profile
 
@@ -14,18 +15,18 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     """Typed columns plus ``reason`` (null when the row is valid).
 
     ``raw`` holds ``seq`` and the seven flow fields as text.  All broken fields of a row are
-    named, in schema order.  Conversion and check share one projection, in the JVM.
+    named, in schema order.  Every field is converted once, in the JVM.
     """
     text = raw.select("seq", *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FLOW_FIELDS])
-    typed = text.select(
-        "seq",
+    typed = once(text, ["seq"], [
         fields.timestamp(F.col("timestamp"), profile.dayfirst).alias("t"),
-        "src_ip", "dst_ip", is_ip(F.col("src_ip")).alias("src_ok"), is_ip(F.col("dst_ip")).alias("dst_ok"),
+        F.col("src_ip").alias("src_ip"), F.col("dst_ip").alias("dst_ip"),
+        is_ip(F.col("src_ip")).alias("src_ok"), is_ip(F.col("dst_ip")).alias("dst_ok"),
         fields.port(F.col("src_port"), profile.missing_port_as_zero).alias("sp"),
         fields.port(F.col("dst_port"), profile.missing_port_as_zero).alias("dp"),
         fields.protocol(F.col("protocol")).alias("proto"),
         fields.whole_number(F.col("packet_length"), profile.length_min, profile.length_max).alias("len"),
-        F.array_join(F.array(*FLOW_FIELDS), ",").alias("raw"))
+        F.concat_ws(",", *FLOW_FIELDS).alias("raw")])
     known = (F.col("proto").isin(*profile.protocols) if profile.protocols
              else F.col("proto").rlike(r"^[A-Z0-9][A-Z0-9_.\-]*$"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Settings, us
 from ..functions.text import plain, seconds_between, seen_text
-from ..operators.incidents import incidents, only_busy, rows_of_incidents, to_units
+from ..operators.incidents import rows_of_incidents, to_units
 from ..schema import as_alerts
+from .sliding import SlidingRule
 
 SERVICE = ["src_ip", "dst_ip", "dst_port"]
 
@@ -17,20 +18,34 @@ def watched(flows: DataFrame, ports: tuple[int, ...]) -> DataFrame:
     return flows.where(F.col("dst_port").isin(*ports)) if ports else flows
 
 
-def brute_force_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def brute_force_rule(s: Settings = DEFAULT) -> SlidingRule:
     p, window = s.brute_force, us(s.brute_force.window_s)
-    rows = only_busy(watched(flows, p.ports).select(*SERVICE, "ts_us"), SERVICE, p.connections_over)
-    units = to_units(rows, SERVICE)
-    found = incidents(units, SERVICE, window, p.connections_over, None, s.tile_windows)
-    return (rows_of_incidents(units, found, SERVICE, window, s.tile_windows)
-            .groupBy(*SERVICE, "start_us", "end_us", "peak").agg(F.sum("n").alias("connections"))
-            .withColumn("severity", F.when(F.col("peak") >= p.high_from_peak, "HIGH").otherwise("MEDIUM")))
+
+    def summarise(units: DataFrame, found: DataFrame) -> DataFrame:
+        high = F.col("peak") >= p.high_from_peak
+        return (rows_of_incidents(units, found, SERVICE, window, s.tile_windows)
+                .groupBy(*SERVICE, "start_us", "end_us", "peak").agg(F.sum("n").alias("connections"))
+                .withColumn("severity", F.when(high, "HIGH").otherwise("MEDIUM")))
+
+    return SlidingRule(
+        "brute_force", tuple(SERVICE), window, p.connections_over, None,
+        select=lambda flows: watched(flows, p.ports).select(*SERVICE, "ts_us"),
+        units=lambda rows: to_units(rows, SERVICE),
+        summarise=summarise, alerts=lambda table: _alerts(table, s), tile_windows=s.tile_windows)
+
+
+def brute_force_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return brute_force_rule(s).table(flows)
 
 
 def brute_force_alerts(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return _alerts(brute_force_incidents(flows, s), s)
+
+
+def _alerts(table: DataFrame, s: Settings) -> DataFrame:
     p = s.brute_force
     duration = seconds_between(F.col("start_us"), F.col("end_us"))
-    return as_alerts(brute_force_incidents(flows, s).select(
+    return as_alerts(table.select(
         F.lit("BRUTE_FORCE").alias("alert_type"), "severity",
         F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("dest_ip"),
         F.format_string(f"Brute force on port %d: %d connections in %.1fs (peak %d in {plain(p.window_s)}s, "

@@ -7,32 +7,45 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DEFAULT, Settings, us
 from ..functions.text import peer_label, plain, seconds_between, seen_text
 from ..operators.firsts import first_values
-from ..operators.incidents import incidents, only_busy, rows_of_incidents, to_units
+from ..operators.incidents import rows_of_incidents, to_units
 from ..schema import as_alerts
 from .brute_force import watched
+from .sliding import SlidingRule
 
 
-def dns_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def dns_rule(s: Settings = DEFAULT) -> SlidingRule:
     p, window = s.dns, us(s.dns.window_s)
-    rows = only_busy(watched(flows, p.ports).select("src_ip", "dst_ip", "ts_us", "packet_length"),
-                     ["src_ip"], p.queries_over)
-    units = to_units(rows, ["src_ip", "dst_ip"], [F.sum("packet_length").alias("bytes")])
-    found = incidents(units, ["src_ip"], window, p.queries_over, None, s.tile_windows)
-    incident = ["src_ip", "start_us", "end_us", "peak"]
-    # One row per resolver: everything below works on this, not on queries.
-    cells = (rows_of_incidents(units, found, ["src_ip"], window, s.tile_windows)
-             .groupBy(*incident, "dst_ip").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
-    totals = cells.groupBy(*incident).agg(F.sum("n").alias("queries"), F.sum("bytes").alias("total_bytes"))
-    resolvers = first_values(cells, incident, "dst_ip", s.list_limit, "resolvers")
-    return (totals.join(resolvers, incident)
-            .withColumn("avg_query_bytes", F.round(F.col("total_bytes") / F.col("queries"), 1))
-            .withColumn("severity", F.when(F.col("peak") > p.high_over_peak, "HIGH").otherwise("MEDIUM")))
+
+    def summarise(units: DataFrame, found: DataFrame) -> DataFrame:
+        incident = ["src_ip", "start_us", "end_us", "peak"]
+        # One row per resolver: everything below works on this, not on queries.
+        cells = (rows_of_incidents(units, found, ["src_ip"], window, s.tile_windows)
+                 .groupBy(*incident, "dst_ip").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+        totals = cells.groupBy(*incident).agg(F.sum("n").alias("queries"), F.sum("bytes").alias("total_bytes"))
+        resolvers = first_values(cells, incident, "dst_ip", s.list_limit, "resolvers")
+        return (totals.join(resolvers, incident)
+                .withColumn("avg_query_bytes", F.round(F.col("total_bytes") / F.col("queries"), 1))
+                .withColumn("severity", F.when(F.col("peak") > p.high_over_peak, "HIGH").otherwise("MEDIUM")))
+
+    return SlidingRule(
+        "dns", ("src_ip",), window, p.queries_over, None,
+        select=lambda flows: watched(flows, p.ports).select("src_ip", "dst_ip", "ts_us", "packet_length"),
+        units=lambda rows: to_units(rows, ["src_ip", "dst_ip"], [F.sum("packet_length").alias("bytes")]),
+        summarise=summarise, alerts=lambda table: _alerts(table, s), tile_windows=s.tile_windows)
+
+
+def dns_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return dns_rule(s).table(flows)
 
 
 def dns_alerts(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return _alerts(dns_incidents(flows, s), s)
+
+
+def _alerts(table: DataFrame, s: Settings) -> DataFrame:
     p = s.dns
     duration = seconds_between(F.col("start_us"), F.col("end_us"))
-    return as_alerts(dns_incidents(flows, s).select(
+    return as_alerts(table.select(
         F.lit("DNS_TUNNELING").alias("alert_type"), "severity", F.col("src_ip").alias("source_ip"),
         peer_label(F.col("resolvers_count"), F.get("resolvers", F.lit(0))).alias("dest_ip"),
         F.format_string(f"Possible DNS tunneling: %d DNS queries in %.1fs (peak %d in {plain(p.window_s)}s, "

@@ -6,32 +6,47 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Settings, us
 from ..functions.text import plain, seconds_between, seen_text
-from ..operators.incidents import incidents, only_busy, rows_of_incidents, to_units
+from ..operators.incidents import rows_of_incidents, to_units
 from ..schema import as_alerts
+from .sliding import SlidingRule
 
 PAIR = ["src_ip", "dst_ip"]
 
 
-def port_scan_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def port_scan_rule(s: Settings = DEFAULT) -> SlidingRule:
     p, window = s.port_scan, us(s.port_scan.window_s)
-    rows = only_busy(flows.select(*PAIR, "dst_port", "ts_us"), PAIR, p.ports_over, "dst_port")
-    units = to_units(rows, PAIR + ["dst_port"])
-    found = incidents(units, PAIR, window, p.ports_over, "dst_port", s.tile_windows)
-    incident = PAIR + ["start_us", "end_us", "peak"]
-    cells = (rows_of_incidents(units, found, PAIR, window, s.tile_windows)
-             .groupBy(*incident, "dst_port").agg(F.sum("n").alias("n")))
-    return cells.groupBy(*incident).agg(
-        F.count(F.lit(1)).alias("unique_ports"),
-        F.sum("n").alias("events"),
-        # At most 65,536 ports exist, so this list is bounded.
-        F.slice(F.sort_array(F.collect_list("dst_port")), 1, s.list_limit).alias("sample_ports"),
-    ).withColumn("severity", F.when(F.col("unique_ports") >= p.high_from_ports, "HIGH").otherwise("MEDIUM"))
+
+    def summarise(units: DataFrame, found: DataFrame) -> DataFrame:
+        incident = PAIR + ["start_us", "end_us", "peak"]
+        cells = (rows_of_incidents(units, found, PAIR, window, s.tile_windows)
+                 .groupBy(*incident, "dst_port").agg(F.sum("n").alias("n")))
+        high = F.col("unique_ports") >= p.high_from_ports
+        return cells.groupBy(*incident).agg(
+            F.count(F.lit(1)).alias("unique_ports"),
+            F.sum("n").alias("events"),
+            # At most 65,536 ports exist, so this list is bounded.
+            F.slice(F.sort_array(F.collect_list("dst_port")), 1, s.list_limit).alias("sample_ports"),
+        ).withColumn("severity", F.when(high, "HIGH").otherwise("MEDIUM"))
+
+    return SlidingRule(
+        "port_scan", tuple(PAIR), window, p.ports_over, "dst_port",
+        select=lambda flows: flows.select(*PAIR, "dst_port", "ts_us"),
+        units=lambda rows: to_units(rows, PAIR + ["dst_port"]),
+        summarise=summarise, alerts=lambda table: _alerts(table, s), tile_windows=s.tile_windows)
+
+
+def port_scan_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return port_scan_rule(s).table(flows)
 
 
 def port_scan_alerts(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return _alerts(port_scan_incidents(flows, s), s)
+
+
+def _alerts(table: DataFrame, s: Settings) -> DataFrame:
     p = s.port_scan
     duration = seconds_between(F.col("start_us"), F.col("end_us"))
-    return as_alerts(port_scan_incidents(flows, s).select(
+    return as_alerts(table.select(
         F.lit("PORT_SCAN").alias("alert_type"), "severity",
         F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("dest_ip"),
         F.format_string(f"Port scan: %d unique ports probed in %.1fs (threshold >{p.ports_over} in "

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import validate
+from ..operators.once import once
 from ..schema import FLOW_FIELDS
 from .profiles import Layout, LogFormatError, Profile, normal, resolve_layout, resolve_profile
 
@@ -80,15 +81,16 @@ def parse_lines(lines: DataFrame, layout: Layout) -> ParsedLog:
     repeated inside a source, is rejected.
     """
     width = len(layout.header)
-    rows = (lines.where(F.col("value").rlike(r"[^,\s]"))
-            .select("source", "seq", "value", split_fields(F.col("value")).alias("f")))
+    rows = once(lines.where(F.col("value").rlike(r"[^,\s]")), ["source", "seq", "value"],
+                [split_fields(F.col("value")).alias("f")])
     is_header = F.lit(False)
     if not layout.headerless:
         keys = [normal(h) for h in layout.header]
         # The first field decides cheaply for almost every line.
         is_header = (F.lower(F.trim(unquoted(F.get("f", F.lit(0))))) == keys[0]) & (
             F.regexp_replace(F.lower(F.trim("value")), r'"|\s*(,)\s*', "$1") == ",".join(keys))
-    rows = rows.withColumn("kind", F.when(F.size("f") != width, "shape").when(is_header, "header").otherwise("row"))
+    kind = F.when(F.size("f") != width, "shape").when(is_header, "header").otherwise("row")
+    rows = once(rows, ["source", "seq", "value", "f"], [kind.alias("kind")])
 
     data = rows.where(F.col("kind") == "row").select(
         "seq", *[unquoted(F.get("f", F.lit(layout.positions[c]))).alias(c) for c in FLOW_FIELDS])
