@@ -26,13 +26,15 @@ LINEITEM = Settings(
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    """Events with ``k`` read from the properties."""
+    return spark.read.parquet(f"{folder}/events.parquet").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def raw_fields(ev: DataFrame) -> DataFrame:
     """Native-layout text fields of every event, some of them damaged in a known way."""
     i = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     return ev.select(
         i.alias("seq"),
         F.when(i % 29 == 0, "not-a-date").otherwise(
@@ -50,7 +52,7 @@ def raw_fields(ev: DataFrame) -> DataFrame:
 def raw_cicids(ev: DataFrame) -> DataFrame:
     """Day-first dates to the minute, protocol numbers, unbounded lengths."""
     i = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     return ev.select(
         i.alias("seq"), F.date_format(F.col("ts").cast("timestamp"), "d/M/yyyy H:mm").alias("timestamp"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string")).alias("src_ip"),
@@ -64,7 +66,7 @@ def raw_cicids(ev: DataFrame) -> DataFrame:
 def raw_unsw(ev: DataFrame) -> DataFrame:
     """Epoch seconds or milliseconds, missing and hexadecimal ports."""
     i = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     return ev.select(
         i.alias("seq"),
@@ -114,7 +116,7 @@ def event_alerts(ev: DataFrame) -> DataFrame:
     kinds = {"click": "PORT_SCAN", "view": "BRUTE_FORCE", "error": "BLACKLISTED_IP", "signup": "DNS_TUNNELING",
              "purchase": "ML_ANOMALY"}
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     kind: Column = F.lit(None).cast("string")
     for event, alert in kinds.items():
         kind = F.when(F.col("event_type") == event, alert).otherwise(kind)
@@ -138,7 +140,7 @@ def event_captures(ev: DataFrame) -> DataFrame:
         return F.lpad(F.hex(x.cast("bigint")), digits, "0")
 
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.col("k").cast("bigint")
     i = F.col("event_id")
     proto = F.when(i % 50 == 0, 47).when(i % 3 == 0, 17).when(i % 3 == 1, 6).otherwise(1)
     size = F.lit(40) + k

@@ -31,20 +31,21 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def whole_number(text: Column, low: int, high: int | None) -> Column:
-    x = number(text)
+def whole(x: Column, low: int, high: int | None) -> Column:
+    """A parsed number as BIGINT, if it is whole and inside the bounds."""
     ok = (x % 1 == 0) & (x >= low)
     return F.when(ok & (x <= high) if high is not None else ok, x.try_cast("bigint"))
 
 
-def timestamp(text: Column, dayfirst: bool = False) -> Column:
+def timestamp(text: Column, dayfirst: bool = False, epoch: Column | None = None) -> Column:
     """Epoch seconds or milliseconds, ISO text (with or without offset), and common date texts.
 
     Text with an offset becomes UTC; text without one is kept as written (the session zone is
     UTC).  ``dayfirst`` decides d/M against M/d; an impossible reading falls back to the other.
-    Dates written in digits are rewritten to ISO and cast, so a row costs one parse.
+    Dates written in digits are rewritten to ISO and cast, so a row costs one parse.  ``epoch``
+    is ``number(text)`` when the caller has it already.
     """
-    epoch = number(text)
+    epoch = number(text) if epoch is None else epoch
     seconds = F.when(epoch < EPOCH_MILLIS_FROM, epoch).otherwise(epoch / 1000.0)
     from_epoch = F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint"))
 
@@ -61,20 +62,22 @@ def timestamp(text: Column, dayfirst: bool = False) -> Column:
     dates = ("d/M/yyyy", "M/d/yyyy") if dayfirst else ("M/d/yyyy", "d/M/yyyy")
     halves = F.coalesce(*[F.try_to_timestamp(F.upper(text), F.lit(d + clock)) for d in (*dates, "yyyy-M-d")])
     named = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in NAMED])
-    return (F.when(text.rlike(NUMBER), F.when(epoch > 0, from_epoch))
+    return (F.when(epoch.isNotNull(), F.when(epoch > 0, from_epoch))
+            .when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.]+$"), text.try_cast("timestamp"))
             .when(text.rlike("(?i)[0-9] ?[AP]M$"), halves)
             .when(text.rlike("^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:[ T].*)?$"), iso.try_cast("timestamp"))
             .when(text.rlike(parts), digits)
             .when(text.rlike("[A-Za-z]{3}"), named))
 
 
-def port(text: Column, missing_as_zero: bool = False) -> Column:
-    """Decimal or 0x-hexadecimal port 0..65535."""
+def port(text: Column, missing_as_zero: bool = False, decimal: Column | None = None) -> Column:
+    """Decimal or 0x-hexadecimal port 0..65535; ``decimal`` is ``number(text)`` if at hand."""
+    decimal = number(text) if decimal is None else decimal
     low = F.lower(text)
     hexadecimal = F.when(low.rlike("^0x[0-9a-f]+$"),
                          F.conv(F.substring(low, 3, 64), 16, 10).try_cast("bigint"))
-    value = F.when(F.startswith(low, F.lit("0x")), F.when(hexadecimal.between(0, 65535), hexadecimal))
-    value = value.otherwise(whole_number(text, 0, 65535))
+    value = F.when(decimal.isNotNull(), whole(decimal, 0, 65535)).when(
+        hexadecimal.between(0, 65535), hexadecimal)
     if missing_as_zero:
         value = F.when(low.isin(*PORT_PLACEHOLDERS), F.lit(0).cast("bigint")).otherwise(value)
     return value.cast("int")
@@ -85,4 +88,5 @@ def protocol(text: Column) -> Column:
     up = F.upper(text)
     n = F.regexp_extract(up, "^([0-9]+)(?:[.]0+)?$", 1).try_cast("bigint")
     named = F.try_element_at(literal_map(PROTOCOL_NAMES), n.try_cast("int"))
-    return F.when(n.isNull(), up).otherwise(F.coalesce(named, F.concat(F.lit("PROTO-"), n.cast("string"))))
+    numbered = F.coalesce(named, F.concat(F.lit("PROTO-"), n.cast("string")), up)
+    return F.when(up.rlike("^[0-9]"), numbered).otherwise(up)      # names skip the lookup

@@ -12,6 +12,8 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.once import once
+
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 
@@ -64,32 +66,44 @@ def ipv4_number(text: Column) -> Column:
             .bitwiseOR(F.shiftleft(_octet(parts, 2), 8)).bitwiseOR(_octet(parts, 3)))
 
 
-def _signed(word: int) -> int:
-    """64 bits as a signed BIGINT."""
-    return word - (1 << 64) if word >> 63 else word
-
-
-def _v6_halves(text: pd.Series) -> pd.DataFrame:
-    """Halves of valid IPv6 text (null elsewhere): the one spelling too irregular for SQL."""
-    def halves(t):
-        if t is None:
-            return None, None
-        n = int(ipaddress.IPv6Address(t))
-        return _signed(n >> 64), _signed(n & (1 << 64) - 1)
-    return pd.DataFrame([halves(t) for t in text], columns=["hi", "lo"], dtype="Int64")
-
-
 def with_address(df: DataFrame, text: str) -> DataFrame:
-    """Add ``family, hi, lo``; all null when the text is no address.  Run it on distinct texts:
-    IPv4 stays in the JVM, IPv6 takes an Arrow batch through Python."""
-    family = F.when(is_ipv4(F.col(text)), 4).when(F.lower(text).rlike(IPV6_RE), 6)
-    step = df.withColumn("family", family)
-    v6_halves = F.pandas_udf(_v6_halves, "hi long, lo long")
-    step = step.withColumn("_v6", v6_halves(F.when(F.col("family") == 6, F.col(text))))
-    return step.select(
-        *df.columns, "family",
-        F.when(F.col("family") == 4, F.lit(0).cast("bigint")).otherwise(F.col("_v6.hi")).alias("hi"),
-        F.when(F.col("family") == 4, ipv4_number(F.col(text))).otherwise(F.col("_v6.lo")).alias("lo"))
+    """Add ``family, hi, lo``; all null when the text is no address.
+
+    A chain of projections, so that no step repeats the expressions before it; all of it runs in
+    the JVM.
+    """
+    keep = df.columns
+    step = df.select(
+        *keep,
+        F.when(is_ipv4(F.col(text)), 4).when(F.lower(text).rlike(IPV6_RE), 6).alias("family"),
+        F.when(F.contains(F.col(text), F.lit(":")), F.lower(F.regexp_replace(text, "%.*$", ""))).alias("_v6"))
+    # An IPv4 tail counts as two groups.
+    step = step.withColumn("_tail", ipv4_number(F.regexp_extract("_v6", r"([0-9.]+[.][0-9.]+)$", 1)))
+    step = step.withColumn("_v6", F.when(F.col("_tail").isNull(), F.col("_v6")).otherwise(F.concat(
+        F.regexp_replace("_v6", r"[0-9.]+[.][0-9.]+$", ""),
+        F.lower(F.hex(F.shiftright("_tail", 16))), F.lit(":"),
+        F.lower(F.hex(F.col("_tail").bitwiseAND(F.lit(0xFFFF)))))))
+    step = step.withColumn("_sides", F.split("_v6", "::"))
+
+    def groups(side: int) -> Column:
+        part = F.get("_sides", F.lit(side))
+        return F.when(part.isNull() | (part == ""), F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+
+    step = step.withColumns({"_left": groups(0), "_right": groups(1)})
+    fill = F.greatest(F.lit(0), F.lit(8) - F.size("_left") - F.size("_right"))
+    step = step.withColumn("_groups", F.concat("_left", F.array_repeat(F.lit("0"), fill), "_right"))
+
+    def half(first: int) -> Column:
+        value = F.lit(0).cast("bigint")
+        for i in range(4):
+            word = F.conv(F.get("_groups", F.lit(first + i)), 16, 10).try_cast("bigint")
+            value = value.bitwiseOR(F.shiftleft(word, 48 - 16 * i))
+        return value
+
+    v4, v6 = F.col("family") == 4, F.col("family") == 6
+    return once(step, [*keep, "family"], [
+        F.when(v4, F.lit(0).cast("bigint")).when(v6, half(0)).alias("hi"),
+        F.when(v4, ipv4_number(F.col(text))).when(v6, half(4)).alias("lo")])
 
 
 def _ones(bits_cleared: Column) -> Column:
@@ -107,23 +121,27 @@ def masked(family: Column, hi: Column, lo: Column, prefix: Column) -> tuple[Colu
             lo.bitwiseAND(_ones(lo_clear)))
 
 
-def _network(text: pd.Series) -> pd.DataFrame:
-    """An address or CIDR (prefix digits, netmask or host mask), host bits cleared."""
-    def parts(t):
-        try:
-            net = ipaddress.ip_network((t or "").strip(), strict=False)
-        except ValueError:
-            return None, None, None, None, None
-        n = int(net.network_address)
-        return net.version, net.prefixlen, _signed(n >> 64), _signed(n & (1 << 64) - 1), str(net)
-    out = pd.DataFrame([parts(t) for t in text], columns=["family", "prefix", "hi", "lo", "entry"], dtype=object)
-    return out.astype({"family": "Int32", "prefix": "Int32", "hi": "Int64", "lo": "Int64"})
+def parse_network(text: str | None) -> tuple | None:
+    """``(family, prefix, hi, lo, canonical text)`` of an address or CIDR (prefix digits, netmask
+    or host mask), host bits cleared; None when it is neither."""
+    try:
+        net = ipaddress.ip_network((text or "").strip(), strict=False)
+    except ValueError:
+        return None
+    n = int(net.network_address)
+    halves = [w - (1 << 64) if w >> 63 else w for w in (n >> 64, n & (1 << 64) - 1)]      # signed
+    return net.version, net.prefixlen, *halves, str(net)
 
 
 def with_network(df: DataFrame, text: str) -> DataFrame:
-    """Add ``family, prefix, hi, lo`` and the canonical ``entry`` text of blocklist entries; all
-    null when the text is neither address nor network."""
+    """Add ``family, prefix, hi, lo`` and the canonical ``entry`` text of blocklist entries (in
+    Arrow batches: their spellings are many, their rows few); all null for other text."""
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        rows = [parse_network(t) or (None,) * 5 for t in texts]
+        out = pd.DataFrame(rows, columns=["family", "prefix", "hi", "lo", "entry"], dtype=object)
+        return out.astype({"family": "Int32", "prefix": "Int32", "hi": "Int64", "lo": "Int64"})
+
     keep = [c for c in df.columns if c != "entry"]
-    network = F.pandas_udf(_network, "family int, prefix int, hi long, lo long, entry string")
-    return df.withColumn("_net", network(F.col(text))).select(
+    parsed = F.pandas_udf(parse, "family int, prefix int, hi long, lo long, entry string")
+    return df.withColumn("_net", parsed(F.col(text))).select(
         *keep, "_net.family", "_net.prefix", "_net.hi", "_net.lo", "_net.entry")

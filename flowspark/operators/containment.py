@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.ip import masked, with_address, with_network
+from ..functions.ip import masked, parse_network, with_address, with_network
+from .sizes import measured_side
 
-ENTRY = "entry string, source string, ord bigint"
+NETWORK = "entry string, source string, ord bigint, family int, prefix int, hi bigint, lo bigint, host boolean"
 
 
 def static_entries(spark: SparkSession, blocklist: tuple[str, ...]) -> DataFrame:
-    rows = [(e, "static", i) for i, e in enumerate(blocklist)]
-    return spark.createDataFrame(rows, ENTRY)
+    """The configured blocklist as networks (a handful of literals, parsed where they are)."""
+    rows = []
+    for i, text in enumerate(blocklist):
+        net = parse_network(text)
+        if net is None:
+            raise ValueError(f"not an address or network: {text!r}")
+        family, prefix, hi, lo, entry = net
+        rows.append((entry, "static", i, family, prefix, hi, lo, prefix == (128 if family == 6 else 32)))
+    return spark.createDataFrame(rows, NETWORK)
 
 
 def intake(entries: DataFrame) -> DataFrame:
@@ -39,14 +47,13 @@ def merge_feeds(feeds: DataFrame, static: DataFrame | None = None) -> DataFrame:
     first = Window.partitionBy("entry").orderBy("feed_ord", "ord")
     merged = feeds.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
     if static is not None:
-        merged = merged.join(with_network(static, "entry").select("entry"), "entry", "left_anti")
+        merged = merged.join(static.select("entry"), "entry", "left_anti")
     return merged
 
 
 def combined_view(feeds: DataFrame, static: DataFrame) -> DataFrame:
     """``entry, source`` of static and feed entries together; static wins."""
-    fixed = with_network(static, "entry")
-    both = fixed.select("entry", F.lit("static").alias("source"), F.lit(0).alias("kind"),
+    both = static.select("entry", F.lit("static").alias("source"), F.lit(0).alias("kind"),
                         F.lit(0).alias("feed_ord"), "ord").unionByName(
         feeds.select("entry", "source", F.lit(1).alias("kind"), F.col("feed_ord").cast("int").alias("feed_ord"), "ord"))
     first = Window.partitionBy("entry").orderBy("kind", "feed_ord", "ord")
@@ -61,13 +68,13 @@ def endpoints(flows: DataFrame) -> DataFrame:
 def listed(addresses: DataFrame, static: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
     """``ip, static_hit, source`` for each address that some entry contains.
 
-    ``static`` and ``feeds`` hold ``entry, source, ord``.  Each address is masked to every prefix
+    ``static`` comes from ``static_entries``, ``feeds`` holds ``entry, source, ord``.  Each address is masked to every prefix
     length in use and met by equality, so the work is addresses x lengths (161 at most), never
     addresses x entries.  Static entries come before feeds, hosts before networks, then feed order.
     """
-    entries = intake(static).withColumn("kind", F.lit(0))
+    entries = static.withColumn("kind", F.lit(0))
     if feeds is not None:
-        entries = entries.unionByName(intake(feeds).withColumn("kind", F.lit(1)))
+        entries = measured_side(entries.unionByName(intake(feeds).withColumn("kind", F.lit(1))))
     lengths = entries.select("family", "prefix").distinct()     # at most 33 + 129 rows
     known = with_address(addresses.select("ip").distinct(), "ip").where(F.col("family").isNotNull())
     probes = known.join(F.broadcast(lengths), "family")

@@ -18,15 +18,22 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     named, in schema order.  Every field is converted once, in the JVM.
     """
     text = raw.select("seq", *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FLOW_FIELDS])
-    typed = once(text, ["seq"], [
-        fields.timestamp(F.col("timestamp"), profile.dayfirst).alias("t"),
-        F.col("src_ip").alias("src_ip"), F.col("dst_ip").alias("dst_ip"),
+    # Two projections, each column once: numbers first, then the values made of them.
+    numbers = text.select("*", *[fields.number(F.col(c)).alias(f"{c}_n")
+                                 for c in ("timestamp", "src_port", "dst_port", "packet_length")])
+
+    def port(c: str) -> Column:
+        return fields.port(F.col(c), profile.missing_port_as_zero, F.col(f"{c}_n"))
+
+    values = numbers.select(
+        "seq", "src_ip", "dst_ip",
+        fields.timestamp(F.col("timestamp"), profile.dayfirst, F.col("timestamp_n")).alias("t"),
         is_ip(F.col("src_ip")).alias("src_ok"), is_ip(F.col("dst_ip")).alias("dst_ok"),
-        fields.port(F.col("src_port"), profile.missing_port_as_zero).alias("sp"),
-        fields.port(F.col("dst_port"), profile.missing_port_as_zero).alias("dp"),
-        fields.protocol(F.col("protocol")).alias("proto"),
-        fields.whole_number(F.col("packet_length"), profile.length_min, profile.length_max).alias("len"),
-        F.concat_ws(",", *FLOW_FIELDS).alias("raw")])
+        port("src_port").alias("sp"), port("dst_port").alias("dp"), fields.protocol(F.col("protocol")).alias("proto"),
+        fields.whole(F.col("packet_length_n"), profile.length_min, profile.length_max).alias("len"),
+        F.concat_ws(",", *FLOW_FIELDS).alias("raw"))
+    made = [c for c in values.columns if c != "seq"]
+    typed = once(values, ["seq"], [F.col(c) for c in made])
     known = (F.col("proto").isin(*profile.protocols) if profile.protocols
              else F.col("proto").rlike(r"^[A-Z0-9][A-Z0-9_.\-]*$"))
 

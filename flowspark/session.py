@@ -12,6 +12,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM interprets, and never compiles, methods above 8,000 bytes of bytecode: let Spark
+    # split wide projections (log parsing) instead of fusing them into one such method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -25,9 +28,10 @@ def build_session(app: str = "flowspark", master: str | None = None, **conf: str
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Apply the one setting results depend on: all times are UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the settings a session may lack: UTC times (results depend on it) and the method
+    size limit."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, RECOMMENDED[key])
     return spark
 
 
