@@ -17,18 +17,18 @@ def _coarse(v: Column) -> Column:
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``name, prob, quantile`` with linear interpolation between neighbouring ranks.
 
-    Equal values are counted first.  A first pass over bucket totals finds the few buckets that
-    hold the wanted ranks; a second one ranks only the distinct values of those buckets.
+    A first pass counts rows per coarse bucket, which combines before the shuffle to a few
+    thousand rows, and finds the buckets holding the wanted ranks; a second pass counts and ranks
+    only the distinct values of those buckets.  ``df`` is read twice: hand in stored rows.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
                                 for c in columns]))
-    counts = (df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull())
-              .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = (df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull())
               .withColumn("bucket", _coarse(F.col("value"))))
 
     by_name = Window.partitionBy("name")
     through = by_name.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (counts.groupBy("name", "bucket").agg(F.sum("n").alias("n"))
+    buckets = (values.groupBy("name", "bucket").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("through", F.sum("n").over(through))
                .withColumn("total", F.sum("n").over(by_name)))
     wanted = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("prob"),
@@ -45,7 +45,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                .select("name", "bucket", "base", "through", "prob", "s.rank", "s.share")
                .where((F.col("share") > 0) & (F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("through"))))
 
-    inside = counts.join(F.broadcast(targets.select("name", "bucket").distinct()), ["name", "bucket"], "left_semi")
+    inside = (values.join(F.broadcast(targets.select("name", "bucket").distinct()), ["name", "bucket"], "left_semi")
+              .groupBy("name", "bucket", "value").agg(F.count(F.lit(1)).alias("n")))
     run = Window.partitionBy("name", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("upto", F.sum("n").over(run))
     return (ranked.join(F.broadcast(targets.drop("through")), ["name", "bucket"])

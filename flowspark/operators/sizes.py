@@ -1,4 +1,4 @@
-"""Broadcasting behind a measured size."""
+"""Rows kept for several uses, and broadcasting behind a measured size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BROADCAST_ROWS = 500_000
+_kept: list[DataFrame] = []
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep rows that several branches of a plan read, spilling to disk; lost blocks are computed
+    again from their lineage."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(kept)
+    return kept
 
 
 def measured_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -14,6 +23,13 @@ def measured_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFram
     The (narrow, already reduced) rows are kept so that counting and joining compute them once.
     Above the limit the join stays a shuffled one and AQE splits its skewed partitions.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = shared(df)
     few = kept.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(kept) if few else kept
+
+
+def release() -> None:
+    """Drop the rows kept so far, when their results are written.  A plan still using them would
+    compute them again."""
+    while _kept:
+        _kept.pop().unpersist()

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.incidents import incidents, only_busy, to_units
+from ..operators.sizes import shared
 
 
 @dataclass(frozen=True)
@@ -33,5 +34,7 @@ class SlidingRule:
 
     def table(self, flows: DataFrame) -> DataFrame:
         """Typed incidents of a whole flow table."""
-        units = self.units(only_busy(self.select(flows), self.keys, self.over, self.value))
+        # Both the metric and the summary read the units: keep them, so the source is read and
+        # shuffled once for both.
+        units = shared(self.units(only_busy(self.select(flows), self.keys, self.over, self.value)))
         return self.summarise(units, self.found(units))

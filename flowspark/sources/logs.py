@@ -69,6 +69,19 @@ class ParsedLog:
     def quality(self) -> DataFrame:
         return validate.quality(self.converted, self.structural)
 
+    def persist(self) -> "ParsedLog":
+        """Keep the converted rows while both views are written, so the source is parsed once."""
+        self.converted.persist()
+        return self
+
+    def unpersist(self) -> None:
+        self.converted.unpersist()
+
+    def save(self, path: str) -> None:
+        """Write both views in one pass: flows under ``valid=true``, rejects under ``valid=false``."""
+        both = self.converted.unionByName(self.structural, allowMissingColumns=True)
+        both.withColumn("valid", F.col("reason").isNull()).write.mode("overwrite").partitionBy("valid").parquet(path)
+
     def records(self):
         """Valid rows one by one, a partition at a time."""
         return self.flows.toLocalIterator()

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, Settings, us
-from ..operators.containment import static_entries, listed, endpoints
+from ..operators.containment import endpoints, listed, static_entries
+from ..operators.sizes import release
 from ..operators.tiles import cluster_intervals, tile_of, trailing_metric
 from ..plans import alerts as algebra, blocklist, forest, off_hours
 from ..plans.beaconing import beacon_alerts
@@ -135,6 +136,7 @@ class StreamDetector:
         has_model = self._score(known.where(F.col("ts_us") <= new_mark), batch, before, mark, final_rows, new_mark == FOREVER)
         self.progress.write(self.spark.createDataFrame(
             [(new_mark, greatest, before["rows"] + rows, before["late"] + late, final_rows, has_model)], PROGRESS), batch)
+        release()
 
     def _sliding(self, rule: SlidingRule, known: DataFrame, batch: int, mark: int, new_mark: int) -> DataFrame:
         """Advance one rule: new violations meet the open incidents; what can no longer grow is

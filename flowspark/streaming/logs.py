@@ -24,10 +24,10 @@ def detect_logs(spark: SparkSession, folder: str, layout: Layout, detector: Stre
     rejects = StateTable(spark, detector.folder, "rejects", REJECT)
 
     def step(lines: DataFrame, batch: int) -> None:
-        parsed = parse_batch(lines.persist(), batch, layout)
+        parsed = parse_batch(lines, batch, layout).persist()      # converted once, read by both sinks
         rejects.write(parsed.rejects, batch)
         detector.process(parsed.flows, batch)
-        lines.unpersist()
+        parsed.unpersist()
 
     writer = stream_lines(spark, folder, files_per_batch).writeStream.foreachBatch(step).option(
         "checkpointLocation", f"{detector.folder}/query")
