@@ -480,4 +480,7 @@ ORACLES: dict[str, str] = {
         CASE i % 3 WHEN 0 THEN 'UDP' WHEN 1 THEN 'TCP' ELSE 'ICMP' END AS protocol, CAST(40 + k AS BIGINT) AS packet_length
         FROM raw WHERE i % 50 <> 0""",
     "capture_rejects": f"""WITH {RAW} SELECT 'packet skipped: unsupported IP protocol 47' AS reason, COUNT(*) AS rows FROM raw WHERE i % 50 = 0""",
+    "stream_live_traffic": f"""WITH {EVENT_FLOWS} SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, protocol, COUNT(*) AS records,
+        CAST(SUM(packet_length) AS BIGINT) AS bytes FROM flows GROUP BY ALL""",
+    "stream_port_scan_alerts": SCAN_ALERT,
 }

@@ -16,7 +16,9 @@ from ..schema import FLOW_FIELDS
 from ..session import cut_lineage, pin, shared_dir
 from ..sources import capture, feeds as feed_source, logs
 from ..sources.profiles import NATIVE_HEADER, PROFILES, custom_profile, resolve_layout
-from ..sources.tables import events_flows, lineitem_flows
+from ..sources.tables import events_flows, events_to_flows, lineitem_flows
+from ..streaming import live
+from ..streaming.detector import StreamDetector
 from ..config import us
 from . import inputs
 from .inputs import EVENTS, LINEITEM
@@ -569,3 +571,32 @@ def _(spark, d):
 def _(spark, d):
     _, rejects = capture.split_decoded(capture.decode_captures(inputs.event_captures(inputs.events(spark, d))))
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# -- streams ---------------------------------------------------------------------------------
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    return events_to_flows(spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]"))
+
+
+@query("stream_live_traffic")
+def _(spark, d):
+    """Daily counts per protocol kept by a streaming aggregation."""
+    import uuid
+    name = f"live_{uuid.uuid4().hex}"
+    live.live_traffic(_event_stream(spark, d), "1 day", "1 hour").writeStream.outputMode("complete").format(
+        "memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(
+        availableNow=True).start().awaitTermination()
+    return us_times(spark.table(name).drop("window_end"))
+
+
+@query("stream_port_scan_alerts")
+def _(spark, d):
+    """Port scans found by the incremental detector: the batch result."""
+    import uuid
+    state = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = StreamDetector(spark, state, EVENTS, delay_s=3600.0, names=["port_scan"], ml=False)
+    found.start(_event_stream(spark, d), availableNow="true").awaitTermination()
+    return plain_alerts(found.finish().rules)

@@ -20,6 +20,8 @@ BASE_US = int(BASE.timestamp()) * 1_000_000
 def spark():
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        # Tiny inputs: compiling generated code costs more than it saves (verify.py runs compiled).
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
         "spark.driver.memory": "4g", "spark.local.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-check-", dir="/tmp")})
     session.sparkContext.setLogLevel("ERROR")
