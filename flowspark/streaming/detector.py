@@ -35,7 +35,7 @@ from .state import StateTable
 
 CELL = "n bigint, bytes bigint, first_us bigint, last_us bigint"
 PROGRESS = ("watermark_us bigint, greatest_us bigint, rows bigint, late bigint, final_rows bigint, "
-            "has_model boolean")
+            "has_model boolean, recent array<struct<batch: bigint, upto_us: bigint>>")
 FOREVER = 1 << 62
 NEVER = -(1 << 62)
 SLIDING = ("port_scan", "brute_force", "dns")
@@ -86,7 +86,8 @@ class StreamDetector:
         rows = self.progress.read(batch).collect()         # one row
         if rows:
             return rows[0].asDict()
-        return {"watermark_us": NEVER, "greatest_us": NEVER, "rows": 0, "late": 0, "final_rows": 0, "has_model": False}
+        return {"watermark_us": NEVER, "greatest_us": NEVER, "rows": 0, "late": 0, "final_rows": 0, "has_model": False,
+                "recent": []}
 
     def process(self, batch_rows: DataFrame, batch: int) -> None:
         """One micro-batch: idempotent given the state of the batch before."""
@@ -125,9 +126,13 @@ class StreamDetector:
         final = self.flows.write(known.where(is_final), batch)
         final_rows = before["final_rows"] + final.count()
 
-        reported = [self._sliding(rule, known, batch, mark, new_mark) for rule in self.rules]
-        if reported:
-            self.alerts.write(algebra.union_alerts(reported), batch)
+        # Batches of final rows that an open incident may still need, with the time each reaches.
+        recent = [(r["batch"], r["upto_us"]) for r in before["recent"]] + [(batch, new_mark)]
+        steps = [self._sliding(rule, known, batch, mark, new_mark, recent) for rule in self.rules]
+        if steps:
+            self.alerts.write(algebra.union_alerts([raised for raised, _ in steps]), batch)
+        needed = min([new_mark - self.context_us] + [start for _, start in steps if start is not None])
+        recent = [r for r in recent if r[1] >= needed]
         if "time_of_day" in self.names:
             self.off_cells.write(off_hours.off_hours_cells(final, self.s.off_hours), batch)
         if "blocklist" in self.names:
@@ -135,12 +140,14 @@ class StreamDetector:
             self.listed_cells.write(blocklist.listed_cells(final, hosts), batch)
         has_model = self._score(known.where(F.col("ts_us") <= new_mark), batch, before, mark, final_rows, new_mark == FOREVER)
         self.progress.write(self.spark.createDataFrame(
-            [(new_mark, greatest, before["rows"] + rows, before["late"] + late, final_rows, has_model)], PROGRESS), batch)
+            [(new_mark, greatest, before["rows"] + rows, before["late"] + late, final_rows, has_model, recent)],
+            PROGRESS), batch)
         release()
 
-    def _sliding(self, rule: SlidingRule, known: DataFrame, batch: int, mark: int, new_mark: int) -> DataFrame:
+    def _sliding(self, rule: SlidingRule, known: DataFrame, batch: int, mark: int, new_mark: int,
+                 recent: list[tuple[int, int]]) -> tuple[DataFrame, int | None]:
         """Advance one rule: new violations meet the open incidents; what can no longer grow is
-        reported."""
+        reported.  Also returns the start of the oldest incident left open."""
         units = rule.metric_units(rule.select(known.where(F.col("ts_us") <= new_mark)))
         hits = trailing_metric(units, rule.keys, rule.window_us, rule.window_us * rule.tile_windows, rule.over, rule.value)
         spans = hits.where(F.col("ts_us") > mark).select(
@@ -151,15 +158,16 @@ class StreamDetector:
             rule.keys, "start_us", "end_us", rule.window_us, {"peak": (F.max("peak"), F.max("peak"))})
         merged = StateTable(self.spark, self.folder, f"merged_{rule.name}", state.schema).write(merged, batch)
         closed = F.col("end_us") + 2 * rule.window_us < new_mark
-        state.write(merged.where(~closed), batch)
+        oldest = state.write(merged.where(~closed), batch).agg(F.min("start_us")).first()[0]
         ended = merged.where(closed)
         bounds = ended.agg(F.min("start_us").alias("a"), F.max("end_us").alias("b")).first()
         if bounds["a"] is None:
-            return self.spark.createDataFrame([], ALERT)
-        # Final rows of the reported keys and times: the time bounds prune Parquet row groups.
-        history = self.flows.read_all().where(F.col("ts_us").between(bounds["a"], bounds["b"]))
+            return self.spark.createDataFrame([], ALERT), oldest
+        # Final rows of the reported keys and times, from the batches that can hold them.
+        history = self.flows.read_batches([b for b, upto in recent if upto >= bounds["a"]]).where(
+            F.col("ts_us").between(bounds["a"], bounds["b"]))
         rows = rule.select(history).join(ended.select(*rule.keys).distinct(), list(rule.keys), "left_semi")
-        return rule.alerts(rule.summarise(rule.units(rows), ended))
+        return rule.alerts(rule.summarise(rule.units(rows), ended)), oldest
 
     def _score(self, known: DataFrame, batch: int, before: dict, mark: int, final_rows: int, last: bool) -> bool:
         path = f"{self.folder}/model"

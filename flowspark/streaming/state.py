@@ -36,6 +36,12 @@ class StateTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(target)
 
+    def read_batches(self, batches: list[int]) -> DataFrame:
+        """The rows of the named batches, each of which was written."""
+        if not batches:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={b}" for b in batches])
+
     def read_all(self, with_batch: bool = False) -> DataFrame:
         """The rows of every batch."""
         if not self._exists(self.path):
