@@ -13,7 +13,7 @@ from ..operators.sizes import release
 from ..plans import alerts as algebra, beaconing, blocklist, brute_force, dns_tunnel, engine, features, forest
 from ..plans import off_hours, port_scan, summary
 from ..schema import FLOW_FIELDS
-from ..session import cut_lineage, pin, shared_dir
+from ..session import pin, shared_dir
 from ..sources import capture, feeds as feed_source, logs
 from ..sources.profiles import NATIVE_HEADER, PROFILES, custom_profile, resolve_layout
 from ..sources.tables import events_flows, events_to_flows, lineitem_flows

@@ -109,7 +109,7 @@ class StreamDetector:
         """Close everything: treat all rows as final and combine the results."""
         last = self.latest() if batch is None else batch
         before = self.last(last)
-        if before["greatest_us"] > before["watermark_us"] or self.rules:
+        if before["watermark_us"] < FOREVER:
             self._advance(self.carry.read(last), last + 1, before, before["watermark_us"], FOREVER,
                           before["greatest_us"], 0, 0)
         return self.result()
