@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash
 from .tables import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,11 @@ def query(name: str) -> Callable[[Query], Query]:
     return add
 
 
+@query("op4_packing")
+def _(spark, d):
+    return packing.packed_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op9_simhash")
 def _(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
