@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import langid, packing, quality, simhash
 from .tables import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +23,23 @@ def query(name: str) -> Callable[[Query], Query]:
     return add
 
 
+@query("op2_quality")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
+
+
 @query("op4_packing")
 def _(spark, d):
     return packing.packed_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op6_langid")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return langid.predicted(docs, langid.train(docs))
+
+
 @query("op9_simhash")
 def _(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
