@@ -203,3 +203,20 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most: int
     whole = named.select("code", "root").join(smallest, "root").select(F.col("code").alias("class_code"), "component_id")
     return marked.join(whole, marked["code"] == whole["class_code"]).select(
         "doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words_each: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, that stay when each component keeps its smallest doc_id. Of
+    rows that repeat this doc_id one stays (the smallest by its text). Rows without doc_id stay."""
+    classes = near_duplicates(docs.select("doc_id", "text"), words_each, most)
+    chosen = stored(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("chosen_id")).agg(
+        F.count(F.lit(1)).alias("times")), "chosen")
+
+    def named(times: str) -> DataFrame:
+        ids = chosen.where(times).select("chosen_id")
+        return docs.join(ids, docs["doc_id"].cast("long") == ids["chosen_id"], "left_semi")
+    single, repeated = named("times = 1"), named("times > 1")
+    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("whole")]
+    one = repeated.select("doc_id", F.struct("text", F.xxhash64(*docs.columns)).alias("place"), *whole).groupBy("doc_id").agg(
+        F.min_by("whole", "place").alias("whole")).select("whole.*")
+    return single.unionByName(one).unionByName(docs.where(F.col("doc_id").isNull()))
