@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, simhash
+from . import bytepair, langid, packing, quality, simhash, wavelet
 from .tables import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def query(name: str) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_wavelet")
+def _(spark, d):
+    return wavelet.documents_of(wavelet.written(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query("op2_quality")
 def _(spark, d):
     docs = table(spark, d, "documents")
@@ -34,6 +39,11 @@ def _(spark, d):
     return packing.packed_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_bytepair")
+def _(spark, d):
+    return bytepair.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op6_langid")
 def _(spark, d):
     docs = table(spark, d, "documents")
