@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, langid, packing, quality, simhash, wavelet
-from .tables import prepare, table
+from . import bytepair, chat, langid, packing, quality, simhash, urls, wavelet
+from .tables import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,12 @@ def _(spark, d):
     return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
 
 
+@query("op3_urls")
+def _(spark, d):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return urls.judged(table(spark, d, "pages"), urls.Policy(rules))
+
+
 @query("op4_packing")
 def _(spark, d):
     return packing.packed_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -50,6 +56,14 @@ def _(spark, d):
     return langid.predicted(docs, langid.train(docs))
 
 
+@query("op8_chat")
+def _(spark, d):
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(stored(chat.windows(rows, public_tokenizers.path("byte_bpe_50k.json")), "windows"))
+
+
 @query("op9_simhash")
 def _(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
