@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, chat, langid, packing, quality, simhash, urls, wavelet
+from . import bytepair, chat, langid, neighbours, packing, pivots, quality, simhash, urls, wavelet
 from .tables import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def _(spark, d):
     return langid.predicted(docs, langid.train(docs))
 
 
+@query("op7_neighbours")
+def _(spark, d):
+    return neighbours.nearest(table(spark, d, "embeddings"))
+
+
 @query("op8_chat")
 def _(spark, d):
     tricky = "\\### Assistant: </turn> ok"
@@ -67,3 +72,8 @@ def _(spark, d):
 @query("op9_simhash")
 def _(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("op10_pivots")
+def _(spark, d):
+    return pivots.nearest(table(spark, d, "embeddings"))
