@@ -17,15 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import UnitEncoder, byte_level_units
-
-
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: printable Latin-1 stands for itself, the others
-    follow from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+from .tokens import UnitEncoder, byte_characters
 
 
 @lru_cache(maxsize=4)
@@ -48,7 +40,7 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str):
 
 
 def encoder(path: str, pattern: str) -> UnitEncoder:
-    return UnitEncoder.of((path, pattern), lambda: (build_tokenizer(read_ranks(path), pattern), byte_level_units))
+    return UnitEncoder.of((path, pattern), lambda: (build_tokenizer(read_ranks(path), pattern), False))
 
 
 @lru_cache(maxsize=4)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .tables import stored
-from .tokens import byte_level_units, file_encoder
+from .tokens import file_encoder
 
 BUDGET = 2048          # tokens of a window; a single longer turn makes a longer window
 HISTORY = 256          # tokens of repeated turns, at most
@@ -107,7 +107,7 @@ def turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = file_encoder(tokenizer, byte_level_units), TaskContext.get().partitionId()
+        coder, part = file_encoder(tokenizer), TaskContext.get().partitionId()
         now, place, before = object(), 0, 0
         for batch in batches:
             made: list[list] = [[], [], []]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .tables import stored
-from .tokens import file_encoder, word_units
+from .tokens import file_encoder
 
 SEQUENCE = 4096
 END_ID = 1
@@ -145,4 +145,4 @@ def packed_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
     """docs (doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
     ``tokenizer`` is the path of a vocabulary that drops white space. Null texts are empty (one
     piece, the end id), null doc_ids are kept as null, repeated rows are packed each."""
-    return pack(pieces(docs, lambda: file_encoder(tokenizer, word_units).ids, sequence), sequence, group_pieces)
+    return pack(pieces(docs, lambda: file_encoder(tokenizer, words=True).ids, sequence), sequence, group_pieces)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin, shared_dir
 
-#: Rows of one Arrow batch handed to Python: a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch handed to Python: a batch of long texts stays small.
+BATCH_ROWS = 2048
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     pin(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

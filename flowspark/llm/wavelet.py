@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .tables import stored
-from .tokens import byte_level_units, file_encoder
+from .tokens import file_encoder
 
 END_ID = 0
 #: A shard is closed by the document that brings it to so many ids.
@@ -216,4 +216,4 @@ def documents_of(files: DataFrame) -> DataFrame:
 
 def written(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The stored table of wavelet files of docs; ``tokenizer`` is the path of a byte-level vocabulary."""
-    return stored(shards(docs, lambda: file_encoder(tokenizer, byte_level_units).ids, shard_tokens), "wavelet")
+    return stored(shards(docs, lambda: file_encoder(tokenizer).ids, shard_tokens), "wavelet")
