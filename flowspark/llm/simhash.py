@@ -213,10 +213,11 @@ def representatives(docs: DataFrame, words_each: int = SHINGLE_WORDS, most: int
         F.count(F.lit(1)).alias("times")), "chosen")
 
     def named(times: str) -> DataFrame:
-        ids = chosen.where(times).select("chosen_id")
+        # One shuffle of docs at every size: both calls share its exchange.
+        ids = chosen.where(times).select("chosen_id").hint("merge")
         return docs.join(ids, docs["doc_id"].cast("long") == ids["chosen_id"], "left_semi")
     single, repeated = named("times = 1"), named("times > 1")
-    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("whole")]
-    one = repeated.select("doc_id", F.struct("text", F.xxhash64(*docs.columns)).alias("place"), *whole).groupBy("doc_id").agg(
+    one = repeated.select("doc_id", F.struct("text", F.xxhash64(*docs.columns)).alias("place"),
+                          F.struct(*[F.col(c) for c in docs.columns]).alias("whole")).groupBy("doc_id").agg(
         F.min_by("whole", "place").alias("whole")).select("whole.*")
     return single.unionByName(one).unionByName(docs.where(F.col("doc_id").isNull()))
