@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import OffHours, Settings
 from ..operators import containment, incidents as inc, validate
 from ..operators.quantiles import exact_quantiles
-from ..operators.sizes import release
 from ..plans import alerts as algebra, beaconing, blocklist, brute_force, dns_tunnel, engine, features, forest
 from ..plans import off_hours, port_scan, summary
 from ..schema import FLOW_FIELDS
@@ -29,11 +28,8 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            release()           # rows an earlier query kept for its own joins
-            return fn(pin(spark), folder)
-        QUERIES[name] = run
-        return run
+        QUERIES[name] = lambda spark, folder: fn(pin(spark), folder)
+        return QUERIES[name]
     return add
 
 

@@ -81,7 +81,6 @@ class Forest:
     high_at: float = -0.15
     medium_at: float = -0.05
     min_rows: int = 50
-    pool_rows: int = 100_000      # uniform pool the per-tree samples are drawn from
     warmup_rows: int = 20_000     # streaming: rows that train the stored model
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .sizes import measured_side
 from .tiles import cluster_intervals, into_tiles, tile_of, trailing_metric
 
 
@@ -26,10 +25,9 @@ def busy_keys(df: DataFrame, keys: Sequence[str], over: int, value: str | None =
 
 def only_busy(df: DataFrame, keys: Sequence[str], over: int, value: str | None = None) -> DataFrame:
     """Semi-join reduction before an expensive window: a necessary condition, never a filter
-    on results.  A key set of measured small size is broadcast, so the rows are not shuffled to
-    be reduced; a large one joins by shuffle."""
+    on results.  Adaptive execution broadcasts the key set when its measured bytes allow it."""
     keys = list(keys)
-    return df.join(measured_side(busy_keys(df, keys, over, value).select(*keys)), keys, "left_semi")
+    return df.join(busy_keys(df, keys, over, value).select(*keys), keys, "left_semi")
 
 
 def to_units(df: DataFrame, dims: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:

@@ -11,13 +11,20 @@ from ..schema import FLOW_FIELDS
 from ..sources.profiles import Profile
 
 
+#: What is stripped from both ends of a field.
+WHITE_SPACE = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     """Typed columns plus ``reason`` (null when the row is valid).
 
-    ``raw`` holds ``seq`` and the seven flow fields as text.  All broken fields of a row are
+    ``raw`` holds ``seq``, the seven flow fields as text and, where there is one, the ``line`` they
+    come from, which a rejected row keeps whole.  All broken fields of a row are
     named, in schema order.  Every field is converted once, in the JVM.
     """
-    text = raw.select("seq", *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FLOW_FIELDS])
+    line = F.col("line") if "line" in raw.columns else F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in FLOW_FIELDS])
+    text = raw.select("seq", line.alias("raw"), *[
+        F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE_SPACE)).alias(c) for c in FLOW_FIELDS])
     # Two projections, each column once: numbers first, then the values made of them.
     numbers = text.select("*", *[fields.number(F.col(c)).alias(f"{c}_n")
                                  for c in ("timestamp", "src_port", "dst_port", "packet_length")])
@@ -31,7 +38,7 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
         is_ip(F.col("src_ip")).alias("src_ok"), is_ip(F.col("dst_ip")).alias("dst_ok"),
         port("src_port").alias("sp"), port("dst_port").alias("dp"), fields.protocol(F.col("protocol")).alias("proto"),
         fields.whole(F.col("packet_length_n"), profile.length_min, profile.length_max).alias("len"),
-        F.concat_ws(",", *FLOW_FIELDS).alias("raw"))
+        "raw")
     made = [c for c in values.columns if c != "seq"]
     typed = once(values, ["seq"], [F.col(c) for c in made])
     known = (F.col("proto").isin(*profile.protocols) if profile.protocols

@@ -31,6 +31,12 @@ def recent(alerts: DataFrame, n: int) -> DataFrame:
     return alerts.orderBy(F.desc("timestamp"), F.desc("severity_rank"), F.asc("alert_key")).limit(n)
 
 
+def with_member(details: Column, member: Column) -> Column:
+    """A JSON object (possibly empty) with one more member at its end."""
+    body = F.rtrim(F.substring(details, F.lit(1), F.length(details) - 1))
+    return F.concat(body, F.when(body == "{", "").otherwise(","), member, F.lit("}"))
+
+
 def corroborate(ml: DataFrame, rules: DataFrame) -> DataFrame:
     """Mark ML alerts whose source a rule caught as well."""
     types = rules.groupBy("source_ip").agg(
@@ -38,8 +44,7 @@ def corroborate(ml: DataFrame, rules: DataFrame) -> DataFrame:
     joined = ml.join(types, "source_ip", "left")
     hit = F.col("_types").isNotNull()
     shown = F.concat(F.col("description"), F.lit(" [corroborates "), F.array_join("_types", ", "), F.lit("]"))
-    extended = F.regexp_replace(F.col("details"), r"\}$",
-                                F.concat(F.lit(',"corroborated_by":'), F.to_json("_types"), F.lit("}")))
+    extended = with_member(F.col("details"), F.concat(F.lit('"corroborated_by":'), F.to_json("_types")))
     return joined.withColumn("description", F.when(hit, shown).otherwise(F.col("description"))).withColumn(
         "details", F.when(hit, extended).otherwise(F.col("details"))).select(*[f.name for f in ALERT.fields])
 
@@ -79,7 +84,7 @@ def merge_duplicates(alerts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
                                F.concat(F.lit('"first_seen":"'), seen_text(F.col("start_us")), F.lit('"')))
     details = F.regexp_replace(details, F.lit('"last_seen":"[^"]*"'),
                                F.concat(F.lit('"last_seen":"'), seen_text(F.col("end_us")), F.lit('"')))
-    details = F.regexp_replace(details, F.lit(r"\}$"), F.format_string(',"merged_alerts":%d}', "merged"))
+    details = with_member(details, F.format_string('"merged_alerts":%d', "merged"))
     changed = {"timestamp": F.timestamp_micros("at_us"), "first_seen": first, "last_seen": last, "details": details}
     return merged.select(*[
         (F.when(several, changed[c]).otherwise(F.col(f"best.alert.{c}")) if c in changed
@@ -141,7 +146,9 @@ def count_by_severity(alerts: DataFrame) -> DataFrame:
 
 
 def count_by_type(alerts: DataFrame) -> DataFrame:
-    return _zero_filled(alerts, "alert_type", list(ALERT_LABEL))
+    """Every known type, with 0 where there is none, and every other type that occurs."""
+    others = alerts.where(~F.col("alert_type").isin(*ALERT_LABEL)).groupBy("alert_type").agg(F.count(F.lit(1)).alias("alerts"))
+    return _zero_filled(alerts, "alert_type", list(ALERT_LABEL)).unionByName(others)
 
 
 # -- text and sinks --------------------------------------------------------------------------

@@ -8,7 +8,6 @@ from ..config import DEFAULT, Settings
 from ..functions.text import peer_label, port_list, seen_text
 from ..operators.containment import endpoints, listed, static_entries
 from ..operators.firsts import first_values
-from ..operators.sizes import measured_side
 from ..schema import as_alerts
 
 GROUP = ["bad_ip", "outbound"]
@@ -21,7 +20,6 @@ def listed_hosts(flows: DataFrame, s: Settings = DEFAULT, feeds: DataFrame | Non
 
 def listed_rows(flows: DataFrame, hosts: DataFrame) -> DataFrame:
     """Rows with a listed end.  The listed destination decides the direction when both are."""
-    hosts = measured_side(hosts)
     at_dst = hosts.select(F.col("ip").alias("dst_ip"), F.col("static_hit").alias("_ds"),
                           F.col("source").alias("_dsrc"))
     at_src = hosts.select(F.col("ip").alias("src_ip"), F.col("static_hit").alias("_ss"),

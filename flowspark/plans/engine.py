@@ -13,7 +13,7 @@ from .beaconing import beacon_alerts
 from .blocklist import blocklist_alerts
 from .brute_force import brute_force_alerts
 from .dns_tunnel import dns_alerts
-from .forest import detect_anomalies
+from .forest import TooFewRecords, detect_anomalies
 from .off_hours import off_hours_alerts
 from .port_scan import port_scan_alerts
 
@@ -49,11 +49,14 @@ def rule_alerts(flows: DataFrame, s: Settings = DEFAULT, feeds: DataFrame | None
                 names: Iterable[str] | None = None) -> DataFrame:
     """Union of the enabled rule detectors; ``names`` restricts them ("blocklist" included)."""
     names = [*DETECTORS, "blocklist"] if names is None else list(names)
-    frames = [DETECTORS[n](flows, s) for n in names if n in DETECTORS]
+    unknown = [n for n in names if n != "blocklist" and n not in DETECTORS]
+    if unknown:
+        raise ValueError(f"no such detector: {', '.join(unknown)}")
+    frames = [DETECTORS[n](flows, s) for n in names if n != "blocklist"]
     if "blocklist" in names:
         frames.append(blocklist_alerts(flows, s, feeds))
     if not frames:
-        raise ValueError(f"no such detector: {', '.join(names)}")
+        raise ValueError("no detector named")
     return algebra.union_alerts(frames)
 
 
@@ -69,7 +72,7 @@ def detect(flows: DataFrame, s: Settings = DEFAULT, feeds: DataFrame | None = No
             raised, result.scored, _ = detect_anomalies(flows, s)
             result.ml = algebra.corroborate(raised, rules)
             result.alerts = rules.unionByName(result.ml)
-        except ValueError as too_few:
+        except TooFewRecords as too_few:
             result.warnings.append(f"ML detection skipped: {too_few}")
     result.alerts = algebra.in_time_order(result.alerts)
     return result

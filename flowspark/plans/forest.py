@@ -27,23 +27,26 @@ NODE = "tree int, node int, feature int, threshold double, left int, right int,
 
 
 def draw_samples(features: DataFrame, p: Forest, rows: int) -> DataFrame:
-    """``tree, features...``: for each tree, min(max_samples, rows) distinct rows, uniformly.
+    """``tree, features...``: for each tree, min(max_samples, rows) distinct rows, uniformly from all
+    rows.
 
-    A pool bounded by ``pool_rows`` is kept by a hash of ``seq``; each tree then takes the rows
-    with its smallest hashes.  The per-tree cut is a filter at 1.5 times the expected share (plus
-    slack) before the exact ranking, so a tree ranks a few hundred rows.
+    A tree takes the rows with its smallest hashes out of about 1.5 times as many candidates.  A row
+    is a candidate of ``copies`` trees on average: the whole part for certain, one more by hash,
+    each another tree, so about trees x (1.5 x max_samples + 64) rows meet whatever the input.
     """
     def unit(*cols) -> Column:
         return (F.pmod(F.xxhash64(*cols), F.lit(1 << 53).cast("bigint"))) / F.lit(float(1 << 53))
 
-    pool = features.select("seq", *ML_FEATURES)
-    if rows > p.pool_rows:
-        pool = pool.where(unit(F.lit(p.seed), F.lit("pool"), "seq") < p.pool_rows / rows)
-    size = min(rows, p.pool_rows)
-    share = min(1.0, (1.5 * p.max_samples + 64) / size)
-    drawn = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))))
-             .withColumn("draw", unit(F.lit(p.seed), "tree", "seq"))
-             .where(F.col("draw") < share))
+    copies = p.trees * min(1.0, (1.5 * p.max_samples + 64) / max(rows, 1))
+    steps = [i for i in range(1, p.trees + 1) if math.gcd(i, p.trees) == 1]      # i, 2i, ... visit every tree
+    n = F.lit(int(copies)) + (unit(F.lit(p.seed), F.lit("more"), "seq") < copies % 1).cast("int")
+    first = F.pmod(F.xxhash64(F.lit(p.seed), F.lit("first"), "seq"), F.lit(p.trees))
+    step = F.get(F.array(*[F.lit(i) for i in steps]), F.pmod(F.xxhash64(F.lit(p.seed), F.lit("step"), "seq"), F.lit(len(steps))).cast("int"))
+    drawn = (features.select("seq", *ML_FEATURES).withColumn("_n", n).where("_n > 0")
+             .withColumns({"_first": first, "_step": step})
+             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+             .withColumn("tree", F.pmod(F.col("_first") + F.col("_i") * F.col("_step"), F.lit(p.trees)).cast("int"))
+             .withColumn("draw", unit(F.lit(p.seed), "tree", "seq")).drop("_n", "_first", "_step", "_i"))
     return top_per_group(drawn, ["tree"], [F.asc("draw"), F.asc("seq")], p.max_samples)
 
 
@@ -80,6 +83,10 @@ def grow_tree(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
 
 
+class TooFewRecords(ValueError):
+    """A table too small to train on."""
+
+
 @dataclass
 class ForestModel:
     """Nodes of all trees, flattened, with the baseline used to explain alerts."""
@@ -159,7 +166,7 @@ def fit(features: DataFrame, s: Settings = DEFAULT, rows: int | None = None) ->
     p = s.forest
     rows = features.count() if rows is None else rows
     if rows < p.min_rows:
-        raise ValueError(f"need at least {p.min_rows} records to train, got {rows}")
+        raise TooFewRecords(f"need at least {p.min_rows} records to train, got {rows}")
     names, seed = list(ML_FEATURES), p.seed
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -78,7 +78,7 @@ def as_alerts(df: DataFrame) -> DataFrame:
         "severity",
         severity_rank(F.col("severity")).alias("severity_rank"),
         F.when(F.col("alert_type") == "ML_ANOMALY", "ML").otherwise("Rule").alias("method"),
-        F.try_element_at(literal_map(ALERT_LABEL), F.col("alert_type")).alias("label"),
+        F.coalesce(F.try_element_at(literal_map(ALERT_LABEL), F.col("alert_type")), F.col("alert_type")).alias("label"),
         "source_ip",
         "dest_ip",
         "description",

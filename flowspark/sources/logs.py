@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import validate
 from ..operators.once import once
 from ..schema import FLOW_FIELDS
-from .profiles import Layout, LogFormatError, Profile, normal, resolve_layout, resolve_profile
+from .profiles import Layout, LogFormatError, Profile, clean, resolve_layout, resolve_profile
 
-#: Splits at commas outside double quotes.
-QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Stands for a comma inside double quotes while a line is split.
+HELD_COMMA = "\x00"
 
 
 def _is_address(text: str) -> bool:
@@ -27,8 +27,11 @@ def _is_address(text: str) -> bool:
 
 
 def split_fields(line: Column) -> Column:
-    """Array of fields as written.  Lines without a quote take the plain split."""
-    return F.when(F.contains(line, F.lit('"')), F.split(line, QUOTED_COMMA)).otherwise(F.split(line, ","))
+    """Array of fields as written.  Lines without a quote take the plain split; in others every
+    second stretch between quotes is quoted, so its commas are held back.  Linear in the line."""
+    parts = F.transform(F.split(line, '"'), lambda part, i: F.when(i % 2 == 1, F.replace(part, F.lit(","), F.lit(HELD_COMMA))).otherwise(part))
+    fields = F.transform(F.split(F.array_join(parts, '"'), ","), lambda f: F.replace(f, F.lit(HELD_COMMA), F.lit(",")))
+    return F.when(F.contains(line, F.lit('"')), fields).otherwise(F.split(line, ","))
 
 
 def unquoted(field: Column) -> Column:
@@ -94,11 +97,11 @@ def parse_lines(lines: DataFrame, layout: Layout) -> ParsedLog:
     repeated inside a source, is rejected.
     """
     width = len(layout.header)
-    rows = once(lines.where(F.col("value").rlike(r"[^,\s]")), ["source", "seq", "value"],
+    rows = once(lines.where(F.col("value").rlike(r'[^,\s"]')), ["source", "seq", "value"],
                 [split_fields(F.col("value")).alias("f")])
     is_header = F.lit(False)
     if not layout.headerless:
-        keys = [normal(h) for h in layout.header]
+        keys = [clean(h) for h in layout.header]
         # The first field decides cheaply for almost every line.
         is_header = (F.lower(F.trim(unquoted(F.get("f", F.lit(0))))) == keys[0]) & (
             F.regexp_replace(F.lower(F.trim("value")), r'"|\s*(,)\s*', "$1") == ",".join(keys))
@@ -106,8 +109,8 @@ def parse_lines(lines: DataFrame, layout: Layout) -> ParsedLog:
     rows = once(rows, ["source", "seq", "value", "f"], [kind.alias("kind")])
 
     data = rows.where(F.col("kind") == "row").select(
-        "seq", *[unquoted(F.get("f", F.lit(layout.positions[c]))).alias(c) for c in FLOW_FIELDS])
-    raw = F.substring("value", 1, 300).alias("raw")
+        "seq", F.col("value").alias("line"), *[unquoted(F.get("f", F.lit(layout.positions[c]))).alias(c) for c in FLOW_FIELDS])
+    raw = F.col("value").alias("raw")
     shape = rows.where(F.col("kind") == "shape").select("seq", F.format_string(
         f"wrong field count (expected {width}, got %d)", F.size("f")).alias("reason"), raw)
     # The header that opens each source is expected; only later copies are rejects.

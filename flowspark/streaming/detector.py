@@ -1,14 +1,14 @@
 """Incremental detection over a stream of flows, with the results of a batch run.
 
 Each micro-batch advances a watermark (greatest event time seen, minus a delay).  Rows become
-final when the watermark passes them; a row later than the watermark is dropped and counted.
+final when the watermark passes them; a row later than the watermark goes to the table ``late``.
 
 * Sliding rules evaluate the same tiled plans as batch over the final rows, given two windows of
   earlier rows as context.  Violations join the open incidents; an incident is reported once the
   watermark is two windows past its end, when nothing can extend it any more.
 * Whole-capture rules append mergeable partial sums per batch and are combined when read.
-* The forest trains once on the first ``warmup_rows`` final rows and is stored; later rows are
-  scored against it.
+* The forest trains once on the first ``warmup_rows`` final rows, in time order, and is stored;
+  all rows are scored against it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, Settings, us
 from ..operators.containment import endpoints, listed, static_entries
-from ..operators.sizes import release
 from ..operators.tiles import cluster_intervals, tile_of, trailing_metric
 from ..plans import alerts as algebra, blocklist, forest, off_hours
 from ..plans.beaconing import beacon_alerts
@@ -60,6 +59,7 @@ class StreamDetector:
         types = {f.name: f.dataType.simpleString() for f in FLOW.fields}
         self.progress = table("progress", PROGRESS)
         self.flows = table("flows", FLOW)                  # final rows, once each
+        self.late = table("late", FLOW)                    # rows that came after the watermark
         self.carry = table("carry", FLOW)                  # rows still needed as context or not final
         self.open = {r.name: table(f"open_{r.name}", ", ".join(
             [f"{k} {types[k]}" for k in r.keys] + ["start_us bigint, end_us bigint, peak bigint"])) for r in self.rules}
@@ -97,6 +97,8 @@ class StreamDetector:
         seen = batch_rows.select(*[f.name for f in FLOW.fields])
         facts = seen.agg(F.max("ts_us").alias("greatest"), F.count(F.lit(1)).alias("rows"),
                          F.count_if(F.col("ts_us") <= mark).alias("late")).first()
+        if facts["late"]:
+            self.late.write(seen.where(F.col("ts_us") <= mark), batch)
         if facts["rows"] == 0:
             greatest, new_mark = before["greatest_us"], mark
         else:
@@ -142,7 +144,6 @@ class StreamDetector:
         self.progress.write(self.spark.createDataFrame(
             [(new_mark, greatest, before["rows"] + rows, before["late"] + late, final_rows, has_model, recent)],
             PROGRESS), batch)
-        release()
 
     def _sliding(self, rule: SlidingRule, known: DataFrame, batch: int, mark: int, new_mark: int,
                  recent: list[tuple[int, int]]) -> tuple[DataFrame, int | None]:
@@ -178,9 +179,12 @@ class StreamDetector:
                 return False
             features = flow_features(self.flows.read_all(), self.s)
             features = StateTable(self.spark, self.folder, "warmup", features.schema).write(features, batch)
-            model = forest.fit(features, self.s, final_rows)
-            scored = forest.score_and_cut(features, model, self.s)
+            # The first warmup_rows by time, however the batches were cut.
+            first = features.orderBy("ts_us", "seq").limit(self.s.forest.warmup_rows)
+            model = forest.fit(first, self.s, min(final_rows, self.s.forest.warmup_rows))
+            forest.score_and_cut(first, model, self.s)
             model.save(self.spark, path)
+            scored = forest.score_and_cut(features, model, self.s, refit=False)
         else:
             model = forest.ForestModel.load(self.spark, path)
             features = flow_features(known, self.s).where(F.col("ts_us") > mark)

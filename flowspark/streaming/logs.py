@@ -12,9 +12,16 @@ from .detector import StreamDetector
 from .state import StateTable
 
 
+#: Bits of a row number: batch, split of the batch, row of the split (Spark's own 33).
+SPLIT_BITS, BATCH_BITS = 9, 21
+
+
 def parse_batch(lines: DataFrame, batch: int, layout: Layout) -> ParsedLog:
-    """A micro-batch of lines; ``seq`` keeps growing from batch to batch."""
-    numbered = lines.withColumn("seq", F.monotonically_increasing_id() + F.lit(batch).cast("bigint") * (1 << 50))
+    """A micro-batch of lines; ``seq`` keeps growing from batch to batch, for two million batches."""
+    if batch >> BATCH_BITS:
+        raise ValueError(f"batch {batch} is beyond the row numbers of one stream: start a new one on a new folder")
+    numbered = lines.coalesce(1 << SPLIT_BITS).withColumn(
+        "seq", F.monotonically_increasing_id() + F.lit(batch << (33 + SPLIT_BITS)).cast("bigint"))
     return parse_lines(numbered, layout)
 
 

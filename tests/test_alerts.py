@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,22 @@ def test_report_tables(spark, flows):
     assert sum(r.alerts for r in tables["timeline"]) == 6 and max(r.bucket for r in tables["timeline"]) == 11
     empty = summary.report_tables(rows.limit(0), make(spark, SOME).limit(0))
     assert empty["summary"].first()["records"] == 0 and empty["timeline"].count() == 0 and empty["alerts"].count() == 0
+
+
+def test_members_of_json_details(spark):
+    rows = spark.createDataFrame([('{}',), ('{"a":1}',), ('{"a":{"b":"}"}}',)], "details string")
+    got = [r[0] for r in rows.select(algebra.with_member(F.col("details"), F.lit('"n":2'))).collect()]
+    assert got == ['{"n":2}', '{"a":1,"n":2}', '{"a":{"b":"}"},"n":2}']
+
+
+def test_plug_in_types_are_counted_and_labelled(spark):
+    from flowspark.plans import engine
+    from flowspark.schema import as_alerts
+    rows = spark.createDataFrame([("MINE", "LOW", "a", "b", "d", 1, 2, "{}", ["k"])], "alert_type string, severity string, source_ip string, "
+                                 "dest_ip string, description string, first_us bigint, last_us bigint, details string, key_parts array<string>")
+    alerts = as_alerts(rows)
+    assert alerts.first()["label"] == "MINE"
+    counts = {r["alert_type"]: r["alerts"] for r in algebra.count_by_type(alerts).collect()}
+    assert counts["MINE"] == 1 and counts["PORT_SCAN"] == 0
+    with pytest.raises(ValueError, match="no such detector: prot_scan"):
+        engine.rule_alerts(spark.createDataFrame([], "seq long"), names=["port_scan", "prot_scan"])

@@ -79,7 +79,7 @@ def test_blocklist_directions_and_feeds(spark, flows):
     ]
 
 
-SMALL = replace(DEFAULT, forest=Forest(trees=60, pool_rows=2_000))
+SMALL = replace(DEFAULT, forest=Forest(trees=60))
 
 
 def test_forest_flags_jumbo_rows(flows):
@@ -90,7 +90,7 @@ def test_forest_flags_jumbo_rows(flows):
 
 
 def test_forest_samples_are_whole_and_repeatable(flows):
-    p = Forest(trees=7, max_samples=64, pool_rows=150)
+    p = Forest(trees=7, max_samples=64)
     features = forest.flow_features(flows(benign(400)), SMALL)
     draw = [sorted((r.tree, r.seq) for r in forest.draw_samples(features, p, 400).collect()) for _ in range(2)]
     assert draw[0] == draw[1] and len(draw[0]) == len(set(draw[0])) == 7 * 64

@@ -39,6 +39,18 @@ def test_malformed_rows_are_quarantined(spark, folder):
     assert len(list(log.records())) == 5
 
 
+def test_lines_that_broke_a_parser(spark, folder):
+    quotes = '"' * 1_000_000
+    long = "never" + "x" * 5_000 + ",10.0.0.1,192.168.1.1,1,2,TCP,5"
+    path = write(folder, "a.csv", [HEADER, quotes + "x", long, '"","",""', '"2026-10-05 08:00:00",\t10.0.0.1\u00a0,"192.168.1.1",1,2,"TCP",5',
+                                   '"2026-10-05, 08:00",10.0.0.1,192.168.1.1,1,2,TCP,5'])
+    log = logs.read_logs(spark, path)
+    assert log.flows.first()["src_ip"] == "10.0.0.1" and log.flows.count() == 1
+    rejects = {r["raw"]: r["reason"] for r in log.rejects.collect()}        # whole lines, not their beginnings
+    assert rejects.pop(quotes + "x").startswith("wrong field count") and rejects.pop(long) == "invalid timestamp"
+    assert list(rejects.values()) == ["invalid timestamp"]
+
+
 def test_all_reasons_of_a_row(spark, folder):
     path = write(folder, "a.csv", [HEADER, "x,y,z,-1,1.5,?,0"])
     assert logs.read_logs(spark, path).rejects.first()["reason"] == (

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import glob
+import os
 from dataclasses import replace
 
 from conftest import beacon, benign, burst, dns, flow, kinds, night, scan
+import pytest
+from pyspark.sql import functions as F
+
 from flowspark.config import DEFAULT, Forest
 from flowspark.plans import engine
 from flowspark.schema import FLOW
 from flowspark.sources.logs import layout_of, text_lines
 from flowspark.streaming.detector import StreamDetector
 from flowspark.streaming.live import live_traffic
-from flowspark.streaming.logs import detect_logs
+from flowspark.sources.profiles import NATIVE_HEADER, resolve_layout
+from flowspark.streaming.logs import detect_logs, parse_batch
 
-FEW_TREES = replace(DEFAULT, forest=Forest(trees=20, pool_rows=2_000, warmup_rows=300))
+FEW_TREES = replace(DEFAULT, forest=Forest(trees=20, warmup_rows=300))
 
 
 def everything():
@@ -25,13 +31,20 @@ def everything():
 def test_file_stream_equals_batch(spark, flows, folder):
     rows = flows(everything())
     ordered = rows.orderBy("ts_us").collect()
-    third = len(ordered) // 3 + 1
-    for i in range(3):       # one file per micro-batch; attacks span the cuts
-        spark.createDataFrame(ordered[i * third:(i + 1) * third], FLOW).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    part = len(ordered) // 5 + 1
+    for i in range(5):       # one file per micro-batch, in time order; attacks span the cuts
+        spark.createDataFrame(ordered[i * part:(i + 1) * part], FLOW).coalesce(1).write.parquet(f"{folder}/new")
+        (made,) = glob.glob(f"{folder}/new/*.parquet")
+        os.makedirs(f"{folder}/in", exist_ok=True)
+        os.utime(made, (1_700_000_000 + 10 * i,) * 2)
+        os.rename(made, f"{folder}/in/{i}.parquet")
+        os.rename(f"{folder}/new", f"{folder}/old-{i}")
     stream = spark.readStream.schema(FLOW).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    # Files written within a second may arrive in any order: the delay covers all of them.
-    detector = StreamDetector(spark, f"{folder}/state", FEW_TREES, delay_s=86_400)
+    detector = StreamDetector(spark, f"{folder}/state", FEW_TREES, delay_s=2)
     detector.start(stream, availableNow="true").awaitTermination()
+    steps = sorted(detector.counters().collect(), key=lambda r: r.batch)
+    assert len(steps) == 5 and steps[3].final_rows > 0.7 * len(ordered)      # work is done in every batch, not at the end
+    assert detector.alerts.read_all().count() > 0
     result = detector.finish()
     assert kinds(result.rules) == kinds(engine.rule_alerts(rows, FEW_TREES))
     assert result.ml is not None and result.ml.count() > 0
@@ -51,6 +64,8 @@ def test_incidents_across_batches_and_late_rows(spark, flows, folder):
     assert "20 unique ports" in only.description
     last = max(detector.counters().collect(), key=lambda r: r.batch)
     assert (last.late, last.final_rows) == (1, 71)
+    (late,) = detector.late.read_all().collect()
+    assert (late.src_ip, late.ts_us) == ("203.0.113.9", flow(1)[0])
 
 
 def test_log_files_stream(spark, folder):
@@ -66,6 +81,26 @@ def test_log_files_stream(spark, folder):
     assert spark.read.parquet(f"{folder}/state/rejects/batch=*").count() == 2
 
 
+def test_row_numbers_of_many_batches(spark):
+    lines = spark.createDataFrame([("f", "2026-10-05 08:00:00,10.0.0.1,10.0.0.2,1,2,TCP,5")] * 3, "source string, value string")
+    layout = resolve_layout(NATIVE_HEADER, None, lambda text: False)
+    seqs = [r.seq for b in (0, 1, 8_192, (1 << 21) - 1) for r in parse_batch(lines, b, layout).flows.orderBy("seq").collect()]
+    assert seqs == sorted(set(seqs)) and len(seqs) == 12 and min(seqs) >= 0
+    with pytest.raises(ValueError, match="beyond"):
+        parse_batch(lines, 1 << 21, layout)
+
+
+def test_warm_up_does_not_depend_on_batches(spark, flows, folder):
+    found = []
+    for name, cuts in (("a", (0, 60, 130, 200)), ("b", (0, 199, 200))):
+        detector = StreamDetector(spark, f"{folder}/{name}", replace(DEFAULT, forest=Forest(trees=10, warmup_rows=55)), delay_s=1, names=["dns"])
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            detector.process(flows(sorted(benign())[a:b]).withColumn("seq", F.col("ts_us")), i)
+        detector.finish()
+        found.append(spark.read.parquet(f"{folder}/{name}/model/nodes").orderBy("tree", "node").collect())
+    assert found[0] == found[1]
+
+
 def test_live_counts(spark, flows, folder):
     flows(benign()).write.parquet(f"{folder}/in")
     live = live_traffic(spark.readStream.schema(FLOW).parquet(f"{folder}/in"), "1 minute", "10 seconds")
