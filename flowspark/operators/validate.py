@@ -19,11 +19,12 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     """Typed columns plus ``reason`` (null when the row is valid).
 
     ``raw`` holds ``seq``, the seven flow fields as text and, where there is one, the ``line`` they
-    come from, which a rejected row keeps whole.  All broken fields of a row are
+    come from, which a rejected row keeps whole, and its ``fault``, a reason known beforehand.  All broken fields of a row are
     named, in schema order.  Every field is converted once, in the JVM.
     """
     line = F.col("line") if "line" in raw.columns else F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in FLOW_FIELDS])
-    text = raw.select("seq", line.alias("raw"), *[
+    fault = F.col("fault") if "fault" in raw.columns else F.lit(None).cast("string")
+    text = raw.select("seq", line.alias("raw"), fault.alias("fault"), *[
         F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE_SPACE)).alias(c) for c in FLOW_FIELDS])
     # Two projections, each column once: numbers first, then the values made of them.
     numbers = text.select("*", *[fields.number(F.col(c)).alias(f"{c}_n")
@@ -38,7 +39,7 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
         is_ip(F.col("src_ip")).alias("src_ok"), is_ip(F.col("dst_ip")).alias("dst_ok"),
         port("src_port").alias("sp"), port("dst_port").alias("dp"), fields.protocol(F.col("protocol")).alias("proto"),
         fields.whole(F.col("packet_length_n"), profile.length_min, profile.length_max).alias("len"),
-        "raw")
+        "raw", "fault")
     made = [c for c in values.columns if c != "seq"]
     typed = once(values, ["seq"], [F.col(c) for c in made])
     known = (F.col("proto").isin(*profile.protocols) if profile.protocols
@@ -54,7 +55,8 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     return typed.select(
         "seq", F.col("t").alias("timestamp"), F.unix_micros("t").alias("ts_us"), "src_ip", "dst_ip",
         F.col("sp").alias("src_port"), F.col("dp").alias("dst_port"), F.col("proto").alias("protocol"),
-        F.col("len").alias("packet_length"), "raw", F.nullif(reason, F.lit("")).alias("reason"))
+        F.col("len").alias("packet_length"), "raw",
+        F.coalesce("fault", F.nullif(reason, F.lit(""))).alias("reason"))
 
 
 def valid_rows(converted: DataFrame) -> DataFrame:

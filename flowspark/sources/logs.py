@@ -6,8 +6,9 @@ import csv
 import ipaddress
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import validate
 from ..operators.once import once
@@ -56,8 +57,8 @@ def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 class ParsedLog:
     """Valid flows and the quarantine, as two views of one projection."""
 
-    converted: DataFrame       # every well-formed row, typed, with its reason
-    structural: DataFrame      # rows that are no data rows: seq, reason, raw
+    converted: DataFrame       # every row but headers, typed, with its reason
+    structural: DataFrame      # repeated headers: seq, reason, raw
     layout: Layout
 
     @property
@@ -73,7 +74,7 @@ class ParsedLog:
         return validate.quality(self.converted, self.structural)
 
     def persist(self) -> "ParsedLog":
-        """Keep the converted rows while both views are written, so the source is parsed once."""
+        """Keep the converted rows while both views are written, so they are converted once."""
         self.converted.persist()
         return self
 
@@ -81,7 +82,8 @@ class ParsedLog:
         self.converted.unpersist()
 
     def save(self, path: str) -> None:
-        """Write both views in one pass: flows under ``valid=true``, rejects under ``valid=false``."""
+        """Write both views in one job: flows under ``valid=true``, rejects under ``valid=false``.  The
+        text is read twice, once for its rows and once for repeated headers."""
         both = self.converted.unionByName(self.structural, allowMissingColumns=True)
         both.withColumn("valid", F.col("reason").isNull()).write.mode("overwrite").partitionBy("valid").parquet(path)
 
@@ -108,17 +110,15 @@ def parse_lines(lines: DataFrame, layout: Layout) -> ParsedLog:
     kind = F.when(F.size("f") != width, "shape").when(is_header, "header").otherwise("row")
     rows = once(rows, ["source", "seq", "value", "f"], [kind.alias("kind")])
 
-    data = rows.where(F.col("kind") == "row").select(
-        "seq", F.col("value").alias("line"), *[unquoted(F.get("f", F.lit(layout.positions[c]))).alias(c) for c in FLOW_FIELDS])
-    raw = F.col("value").alias("raw")
-    shape = rows.where(F.col("kind") == "shape").select("seq", F.format_string(
-        f"wrong field count (expected {width}, got %d)", F.size("f")).alias("reason"), raw)
-    # The header that opens each source is expected; only later copies are rejects.
-    headers = rows.where(F.col("kind") == "header")
-    opening = headers.groupBy("source").agg(F.min("seq").alias("opening"))
-    repeated = (headers.join(opening, "source").where(F.col("seq") > F.col("opening"))
-                .select("seq", F.lit("repeated header row").alias("reason"), raw))
-    return ParsedLog(validate.convert(data, layout.profile), shape.unionByName(repeated), layout)
+    misshapen = F.when(F.col("kind") == "shape", F.format_string(f"wrong field count (expected {width}, got %d)", F.size("f")))
+    data = rows.where(F.col("kind") != "header").select(
+        "seq", F.col("value").alias("line"), misshapen.alias("fault"),
+        *[unquoted(F.get("f", F.lit(layout.positions[c]))).alias(c) for c in FLOW_FIELDS])
+    # The header that opens each source is expected; only later copies (few rows) are rejects.
+    opening = F.min("seq").over(Window.partitionBy("source"))
+    repeated = rows.where(F.col("kind") == "header").select("seq", "value", opening.alias("opening")).where("seq > opening").select(
+        "seq", F.lit("repeated header row").alias("reason"), F.col("value").alias("raw"))
+    return ParsedLog(validate.convert(data, layout.profile), repeated, layout)
 
 
 def layout_of(lines: DataFrame, profile: "str | Profile | Mapping[str, str] | None" = "auto",
@@ -134,12 +134,40 @@ def layout_of(lines: DataFrame, profile: "str | Profile | Mapping[str, str] | No
 def read_logs(spark: SparkSession, paths: str | Sequence[str],
               profile: "str | Profile | Mapping[str, str] | None" = None,
               columns: Mapping[str, str] | None = None) -> ParsedLog:
-    """Files of one layout -> flows and rejects.
+    """Files -> flows and rejects, each file by the layout of its own first line.
 
-    The layout comes from the first line of the first file; all files are taken to share it.
+    Files that open with the same line share a plan.  A file without a usable layout is one reject
+    (its first line, with the reason); if no file has one, that is an error.
     """
     lines = text_lines(spark, paths)
-    return parse_lines(lines, layout_of(lines, profile, columns))
+    written = F.col("value").rlike(r"\S")
+    opening = lines.where(written).groupBy("source").agg(F.min_by("value", "seq").alias("first"), F.min("seq").alias("seq"))
+    groups = opening.groupBy("first").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("files")).orderBy("seq").collect()
+    chosen, parsed, broken = resolve_profile(profile, columns), [], []
+    if not groups:
+        raise LogFormatError("the log is empty")
+    layouts: dict[str, Layout | LogFormatError] = {}
+    for group in groups:                       # one row for each distinct opening line
+        fields = next(csv.reader([group["first"]], skipinitialspace=True), [])
+        try:
+            layouts[group["first"]] = resolve_layout(fields or [""], chosen, _is_address)
+        except LogFormatError as why:
+            layouts[group["first"]] = why
+    good = {first: x for first, x in layouts.items() if isinstance(x, Layout)}
+    if not good:
+        raise next(iter(layouts.values()))
+    if len(good) == len(layouts) and len({(x.profile.name, x.header) for x in good.values()}) == 1:
+        return parse_lines(lines, next(iter(good.values())))
+    named = opening.select("source", "first")
+    for layout in {(x.profile.name, x.header): x for x in good.values()}.values():
+        mine = [first for first, x in good.items() if (x.profile.name, x.header) == (layout.profile.name, layout.header)]
+        files = named.where(F.col("first").isin(mine)).select("source")
+        parsed.append(parse_lines(lines.join(files, "source", "left_semi"), layout))
+    for first, why in layouts.items():
+        if isinstance(why, LogFormatError):
+            broken.append(opening.where(F.col("first") == first).select("seq", F.lit(f"file skipped: {why}").alias("reason"), F.col("first").alias("raw")))
+    return ParsedLog(reduce(DataFrame.unionByName, [p.converted for p in parsed]),
+                     reduce(DataFrame.unionByName, [*[p.structural for p in parsed], *broken]), parsed[0].layout)
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import pytest
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import BASE_US, benign, scan

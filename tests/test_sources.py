@@ -85,6 +85,21 @@ def test_headerless_unsw(spark, folder):
     assert {r["src_port"] for r in log.flows.collect()} == {0, 80}
 
 
+def test_each_file_has_its_own_layout(spark, folder):
+    head = "Flow ID, Source IP, Source Port, Destination IP, Destination Port, Protocol, Timestamp, Flow Duration, Total Length of Fwd Packets, Label"
+    write(folder, "a.csv", [HEADER, GOOD.format(i=1), HEADER])
+    write(folder, "b.csv", [head, "f,10.0.0.1,5000,10.0.0.2,53,17,3/7/2017 8:55,1,100000,BENIGN", "f,10.0.0.1"])
+    write(folder, "c.csv", ["protocol,timestamp,src_ip,dst_ip,src_port,dst_port,packet_length", "UDP,2026-10-05 08:00:00,10.0.0.7,10.0.0.8,1,2,77"])
+    write(folder, "d.csv", ["what,is,this", "1,2,3"])
+    log = logs.read_logs(spark, folder, "auto")
+    assert {(r["src_ip"], r["protocol"], r["packet_length"]) for r in log.flows.collect()} == {
+        ("10.0.0.1", "TCP", 500), ("10.0.0.1", "UDP", 100_000), ("10.0.0.7", "UDP", 77)}
+    reasons = sorted(r["reason"] for r in log.rejects.collect())
+    assert len(reasons) == 3 and reasons[0].startswith("file skipped: closest profile") and reasons[1:] == [
+        "repeated header row", "wrong field count (expected 10, got 2)"]
+    assert tuple(log.quality.first()) == (6, 3, 3)
+
+
 def test_profiles_and_errors(spark, folder):
     path = write(folder, "x.csv", ["ts,src,dst,sp,dp,proto,len", "1700000000,10.0.0.1,10.0.0.2,-,443,6,70000"])
     names = {"ts": "timestamp", "src": "source_ip", "dst": "dst_ip", "sp": "source_port", "dp": "destination_port",
