@@ -34,10 +34,40 @@ def _(spark, d):
     return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
 @query("op3_urls")
 def _(spark, d):
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-    return urls.judged(table(spark, d, "pages"), urls.Policy(rules))
+    return urls.judged(table(spark, d, "pages"), urls.Policy(URL_RULES))
+
+
+def _urls_sql() -> str:
+    """The rules by length, longest first, and one pattern for each term of the vocabulary."""
+    rules = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+
+    def fits(host: str, path: str) -> str:
+        return f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%'"
+
+    def term(text: str, value: str) -> str:
+        return f"CASE WHEN regexp_matches(place, '(^|[^a-z0-9]){text}([^a-z0-9]|$)') THEN {value} ELSE 0 END"
+    policy = urls.Policy(URL_RULES)
+    strict = " + ".join(term(t, "1") for t in policy.strict)
+    soft = " + ".join(term(t, "1") for t in policy.soft)
+    weight = " + ".join(term(t, f"{w}::DOUBLE") for t, w in policy.soft.items())
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+found AS (SELECT *, lower(host || ' ' || path) AS place, CASE {" ".join(f"{fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)} END AS rule,
+                 CASE {" ".join(f"{fits(h, p)} THEN '{v}'" for h, p, v in rules)} END AS given FROM parts),
+hits AS (SELECT *, CAST({strict} AS INTEGER) AS strict_hits, CAST({soft} AS INTEGER) AS soft_hits, CAST({weight} AS DOUBLE) AS soft_weight FROM found)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN strict_hits > 0 OR soft_hits > 1 AND soft_weight >= {policy.soft_limit} THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_hits, soft_weight FROM hits"""
+
+
+ORACLES["op3_urls"] = _urls_sql()
 
 
 @query("op4_packing")
@@ -77,3 +107,13 @@ def _(spark, d):
 @query("op10_pivots")
 def _(spark, d):
     return pivots.nearest(table(spark, d, "embeddings"))
+
+
+ORACLES["op10_pivots"] = """
+WITH sound AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS x FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+v AS (SELECT vec_id, [floor(1024 * c)::BIGINT for c in x] AS x FROM sound),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum([q.x[i] * c.x[i] for i in range(1, len(q.x) + 1)])::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10"""

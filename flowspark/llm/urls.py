@@ -68,19 +68,19 @@ class Matcher:
             at = dot + 1
 
     def hits(self, host: str, path: str) -> tuple[int, int, float]:
-        """Strict terms found, distinct soft terms found, and the sum of their weights."""
+        """Distinct strict and soft terms found, and the sum of the soft ones' weights."""
         text = f"{host} {path}".lower()
-        strict, soft = 0, {}
+        strict, soft = set(), {}
         if len(self.terms):
             for end, (term, weight) in self.terms.iter(text):
                 before, after = end - len(term), end + 1
                 if before >= 0 and text[before].isalnum() or after < len(text) and text[after].isalnum():
                     continue
                 if weight is None:
-                    strict += 1
+                    strict.add(term)
                 else:
                     soft[term] = weight
-        return strict, len(soft), sum(soft.values())
+        return len(strict), len(soft), sum(soft.values())
 
 
 def host_of(url: Column) -> Column:
