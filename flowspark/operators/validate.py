@@ -22,10 +22,10 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     come from, which a rejected row keeps whole, and its ``fault``, a reason known beforehand.  All broken fields of a row are
     named, in schema order.  Every field is converted once, in the JVM.
     """
-    line = F.col("line") if "line" in raw.columns else F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in FLOW_FIELDS])
+    bare = {c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE_SPACE)) for c in FLOW_FIELDS}
+    line = F.col("line") if "line" in raw.columns else F.concat_ws(",", *bare.values())
     fault = F.col("fault") if "fault" in raw.columns else F.lit(None).cast("string")
-    text = raw.select("seq", line.alias("raw"), fault.alias("fault"), *[
-        F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE_SPACE)).alias(c) for c in FLOW_FIELDS])
+    text = raw.select("seq", line.alias("raw"), fault.alias("fault"), *[value.alias(c) for c, value in bare.items()])
     # Two projections, each column once: numbers first, then the values made of them.
     numbers = text.select("*", *[fields.number(F.col(c)).alias(f"{c}_n")
                                  for c in ("timestamp", "src_port", "dst_port", "packet_length")])
