@@ -1,14 +1,13 @@
 """Token ids of whole texts by the tokenizers library, each distinct unit of a batch encoded once.
 
 A unit is a stretch of text whose ids do not depend on what stands around it. A batch of texts is
-cut into units by Arrow, the distinct ones are encoded, and the ids of the texts are gathered from
-theirs. Units of Latin letters and a punctuation tail, nearly all there are, need no normaliser or
+cut into units by Arrow, the distinct ones that no batch had before are encoded, and the ids of the
+texts are gathered from theirs. Units of Latin letters and a punctuation tail, nearly all there are, need no normaliser or
 pattern: the library's model gets their letters directly, many words in one call."""
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +17,10 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark's tasks use the cores
 os.environ.setdefault("ARROW_NUM_THREADS", "1")
 
+#: Units whose ids a worker keeps for later batches.
+KEPT_UNITS = 1 << 19
 #: White space where the pattern of byte-level vocabularies looks further than one character.
-_RARE = re.compile(r"\s\s|[^\S \n]")
+_RARE = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(1 << 16) if chr(c).isspace() and chr(c) not in " \n"))
 #: Letters that every Unicode version and the normaliser (lower case, composition) treat alike,
 #: then a run of ASCII punctuation without the apostrophe: two matches of the patterns.
 _SIMPLE = (r"^(?P<open>\n?)(?P<stem>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+)"
@@ -71,6 +72,8 @@ class UnitEncoder:
         for token, number in vocabulary.items():
             self.lengths[number] = len(token) - (len(end) if end and token.endswith(end) else 0)
         self.break_ids = self._whole("\n")
+        self.kept, self.pool = pa.array([], pa.string()), np.empty(0, "<u4")
+        self.starts, self.each = np.empty(0, np.int64), np.empty(0, np.int64)
 
     @staticmethod
     def of(key: object, build: Callable[[], tuple[object, bool]]) -> UnitEncoder:
@@ -137,9 +140,26 @@ class UnitEncoder:
         each = lengths.sum(axis=0)
         return pool, np.cumsum(each) - each, each
 
+    def _known(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_units() with what is kept from earlier batches; keeps new units while there is room."""
+        at = pc.index_in(units, value_set=self.kept)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        fresh = units.filter(pa.array(new))
+        pool, starts, each = self._units(fresh)
+        at = at.fill_null(0).to_numpy()
+        all_starts, all_each = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        all_starts[~new], all_each[~new] = self.starts[at[~new]], self.each[at[~new]]
+        all_starts[new], all_each[new] = starts + len(self.pool), each
+        whole = np.concatenate([self.pool, pool])
+        if len(self.kept) + len(fresh) <= KEPT_UNITS and len(whole) <= 8 * KEPT_UNITS:
+            self.kept = pa.concat_arrays([self.kept, fresh])
+            self.starts, self.each = np.concatenate([self.starts, starts + len(self.pool)]), np.concatenate([self.each, each])
+            self.pool = whole
+        return whole, all_starts, all_each
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, x in enumerate(texts) if x and (self.words or not _RARE.search(x))]
+        plain = [i for i, x in enumerate(texts) if x and (self.words or not any(r in x for r in _RARE))]
         for i in set(range(len(texts))).difference(plain):
             if texts[i]:
                 out[i] = self._whole(texts[i]).tobytes()
@@ -150,7 +170,7 @@ class UnitEncoder:
         cut = [texts[i].replace("\n", " ") if self.words else " \n" + texts[i].replace("\n", " \n") for i in plain]
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
         units = lists.flatten().dictionary_encode()
-        pool, starts, lengths = self._units(units.dictionary.cast(pa.string()))
+        pool, starts, lengths = self._known(units.dictionary.cast(pa.string()))
         codes = units.indices.to_numpy().astype(np.int64)
         firsts = lists.offsets.to_numpy()
         per_unit = lengths[codes]

@@ -40,11 +40,15 @@ def odd_texts(n, seed=1):
 
 
 @pytest.mark.parametrize("path, words", [(BYTES, False), (WORDS, True)])
-def test_units_give_the_ids_of_whole_texts(path, words):
+def test_units_give_the_ids_of_whole_texts(path, words, monkeypatch):
     coder, whole, texts = tokens.file_encoder(path, words), library(path), odd_texts(4000)
     want = [whole.encode(text, add_special_tokens=False).ids for text in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.ids(texts)] == want
     assert [np.frombuffer(coder.ids([x])[0], "<u4").tolist() for x in texts[:300]] == want[:300]
+    coder.kept, coder.pool, coder.starts, coder.each = coder.kept[:0], coder.pool[:0], coder.starts[:0], coder.each[:0]
+    monkeypatch.setattr(tokens, "KEPT_UNITS", 40)             # a full store keeps no more
+    assert [np.frombuffer(x, "<u4").tolist() for at in range(0, 400, 7) for x in coder.ids(texts[at:at + 7])] == want[:len(range(0, 400, 7)) * 7]
+    assert 0 < len(coder.kept) <= 40
     assert coder.ids([]) == [] and coder.ids(["", "\n"]) == [b"", b"" if words else coder.break_ids.tobytes()]
 
 
