@@ -484,3 +484,25 @@ ORACLES: dict[str, str] = {
         CAST(SUM(packet_length) AS BIGINT) AS bytes FROM flows GROUP BY ALL""",
     "stream_port_scan_alerts": SCAN_ALERT,
 }
+
+BRUTE_EVENT_ALERT = alert_select(
+    "BRUTE_FORCE", "Brute force", "src_ip", "dst_ip", "start_us", "end_us", "''",
+    f"({brute_sql(EVENT_FLOWS, 120 * HOUR_US, 1, 3, 'dst_port < 50')})")
+BEACON_ALERT = alert_select("BEACONING", "C2 beaconing", "src_ip", "dst_ip", "first_us", "last_us", "''",
+                            f"(WITH {BEACON_CTES} SELECT * FROM beacons)")
+ORACLES["rule_alerts_all"] = " UNION ALL ".join(
+    f"SELECT * EXCLUDE (description) FROM ({q})" for q in (SCAN_ALERT, BRUTE_EVENT_ALERT, DNS_ALERT, OFF_ALERT, LIST_ALERT, BEACON_ALERT))
+ORACLES["stream_rule_alerts"] = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (SCAN_ALERT, DNS_ALERT, OFF_ALERT))
+
+#: The five time slices of the streamed events, the slice sent again, and the watermark after each batch.
+SLICED = f"""{EVENT_FLOWS},
+ends AS (SELECT MIN(ts_us) AS low, (MAX(ts_us) - MIN(ts_us)) // 5 AS width FROM flows),
+sliced AS (SELECT flows.*, least((ts_us - low) // width, 4) AS batch FROM flows, ends),
+again AS (SELECT * FROM sliced WHERE batch = 0 AND seq % 50 = 0)"""
+ORACLES["stream_late_rows"] = f"WITH {SLICED} SELECT seq, ts_us, src_ip, dst_ip FROM again"
+ORACLES["stream_counters"] = f"""WITH {SLICED},
+per AS (SELECT batch, COUNT(*) AS n, MAX(ts_us) - {HOUR_US} AS mark FROM sliced GROUP BY batch)
+SELECT batch, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS late,
+       (SELECT COUNT(*) FROM flows WHERE ts_us <= mark) AS final_rows FROM per
+UNION ALL SELECT 5 AS batch, (SELECT COUNT(*) FROM flows) + (SELECT COUNT(*) FROM again) AS rows, (SELECT COUNT(*) FROM again) AS late,
+       (SELECT COUNT(*) FROM flows WHERE ts_us <= (SELECT MAX(ts_us) - {HOUR_US} FROM flows)) AS final_rows"""

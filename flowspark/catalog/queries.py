@@ -319,6 +319,12 @@ def _(spark, d):
         flows, EVENTS, names=["port_scan", "dns", "time_of_day", "blocklist"])))
 
 
+@query("rule_alerts_all")
+def _(spark, d):
+    """All six rules, feeds included."""
+    return plain_alerts(engine.rule_alerts(events_flows(spark, d), EVENTS, _feed_entries(spark, d))).drop("description")
+
+
 # -- alert algebra ---------------------------------------------------------------------------
 
 def _alerts(spark, d) -> DataFrame:
@@ -596,3 +602,43 @@ def _(spark, d):
     found = StreamDetector(spark, state, EVENTS, delay_s=3600.0, names=["port_scan"], ml=False)
     found.start(_event_stream(spark, d), availableNow="true").awaitTermination()
     return plain_alerts(found.finish().rules)
+
+
+SLICES, SLICE_FILES, SLICE_DELAY_S = 5, 2, 3600.0
+
+
+def _streamed(spark: SparkSession, d: str, names: tuple[str, ...], again: bool = False) -> StreamDetector:
+    """The events as files of five consecutive time slices, one slice per micro-batch, through the
+    incremental detector with a delay far below a slice.  ``again``: a sixth slice repeats every
+    50th event of the first one, too late for the watermark."""
+    import uuid
+    folder = f"{shared_dir(spark)}/sliced-{uuid.uuid4().hex}"
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    flows = events_to_flows(ev)
+    low, high = flows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    width = (high - low) // SLICES
+    for i in range(SLICES):                   # written one after the other: their files are in time order
+        upto = F.lit(True) if i + 1 == SLICES else F.col("ts_us") < low + (i + 1) * width
+        flows.where((F.col("ts_us") >= low + i * width) & upto).repartition(SLICE_FILES).write.mode("append").parquet(folder)
+    if again:
+        flows.where((F.col("ts_us") < low + width) & (F.col("seq") % 50 == 0)).repartition(SLICE_FILES).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(folder)
+    found = StreamDetector(spark, f"{folder}-state", EVENTS, delay_s=SLICE_DELAY_S, names=names, ml=False)
+    found.start(stream, availableNow="true").awaitTermination()
+    return found
+
+
+@query("stream_rule_alerts")
+def _(spark, d):
+    """The rules over five micro-batches: the batch result."""
+    return plain_alerts(_streamed(spark, d, ("port_scan", "dns", "time_of_day")).finish().rules)
+
+
+@query("stream_late_rows")
+def _(spark, d):
+    return _streamed(spark, d, ("time_of_day",), again=True).late.read_all().select("seq", "ts_us", "src_ip", "dst_ip")
+
+
+@query("stream_counters")
+def _(spark, d):
+    return _streamed(spark, d, ("time_of_day",), again=True).counters().select(F.col("batch").cast("bigint").alias("batch"), "rows", "late", "final_rows")
