@@ -127,10 +127,11 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIE
         else:
             done.append(packed)
         gaps = done[-1].where("gap > 0")
-        if attempt + 1 == rounds or groups == 1 or gaps.isEmpty():
+        open_groups = gaps.select(F.shiftright("sequence_id", 28)).distinct().count()
+        if attempt + 1 == rounds or open_groups < 2:
             return _all(done)
         done, pool = [*done[:-1], done[-1].where("gap <= 0"), gaps], gaps
-        groups = max(1, groups // 2)
+        groups = open_groups // 2
     return _all(done)
 
 

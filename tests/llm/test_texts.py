@@ -166,7 +166,7 @@ def test_packing_of_messy_documents(messy):
 
 def test_groups_with_a_gap_are_packed_again(spark):
     draw = np.random.default_rng(4)
-    rows = [(i, i, 0, 0, int(n), 0) for i, n in enumerate(draw.integers(20, 60, 400))]
+    rows = [(i, i, 0, 0, int(n), 0) for i, n in enumerate(draw.integers(30, 45, 400))]
     cut = spark.createDataFrame(rows, packing.PIECE)
     once, more = (packing.pack(cut, 100, 10, rounds).collect() for rounds in (1, 4))
     for got in (once, more):
