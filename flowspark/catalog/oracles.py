@@ -506,3 +506,6 @@ SELECT batch, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS rows, CAST(0 AS BI
        (SELECT COUNT(*) FROM flows WHERE ts_us <= mark) AS final_rows FROM per
 UNION ALL SELECT 5 AS batch, (SELECT COUNT(*) FROM flows) + (SELECT COUNT(*) FROM again) AS rows, (SELECT COUNT(*) FROM again) AS late,
        (SELECT COUNT(*) FROM flows WHERE ts_us <= (SELECT MAX(ts_us) - {HOUR_US} FROM flows)) AS final_rows"""
+
+ORACLES["alerts_csv_sink"] = ORACLES["alerts_json_sink"] = ORACLES["alerts_flat"]
+ORACLES["alerts_log_sink"] = f"WITH {ALERTS} SELECT severity, alert_type, COUNT(*) AS alerts FROM alerts GROUP BY ALL"

@@ -604,6 +604,38 @@ def _(spark, d):
     return plain_alerts(found.finish().rules)
 
 
+# -- sinks -----------------------------------------------------------------------------------
+
+def _written(spark: SparkSession, d: str, write) -> tuple[DataFrame, str]:
+    import uuid
+    alerts, folder = _alerts(spark, d), f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    write(alerts, folder)
+    return alerts, folder
+
+
+@query("alerts_csv_sink")
+def _(spark, d):
+    """The flat view written as CSV files and read back."""
+    alerts, folder = _written(spark, d, algebra.write_csv)
+    return us_times(spark.read.option("header", True).option("escape", '"').schema(algebra.flat_view(alerts).schema).csv(folder))
+
+
+@query("alerts_json_sink")
+def _(spark, d):
+    """Whole alerts written as JSON lines; the flat view of what is read back."""
+    alerts, folder = _written(spark, d, algebra.write_json)
+    return us_times(algebra.flat_view(spark.read.schema(alerts.schema).json(folder)))
+
+
+@query("alerts_log_sink")
+def _(spark, d):
+    """Log lines written and read back, by severity and type as they stand in the text."""
+    _, folder = _written(spark, d, algebra.write_log)
+    fields = F.split(F.regexp_replace("value", r"^\[[^\]]*\] ", ""), r" \| ")
+    return spark.read.text(folder).select(F.trim(fields[1]).alias("severity"), F.trim(fields[2]).alias("alert_type")).groupBy(
+        "severity", "alert_type").agg(F.count(F.lit(1)).alias("alerts"))
+
+
 SLICES, SLICE_FILES, SLICE_DELAY_S = 5, 2, 3600.0
 
 

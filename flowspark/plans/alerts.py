@@ -175,9 +175,15 @@ def write_log(alerts: DataFrame, path: str, append: bool = False) -> None:
     stamped.write.mode("append" if append else "overwrite").text(path)
 
 
+#: Files keep the microseconds of a time.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_json(alerts: DataFrame, path: str) -> None:
-    in_time_order(alerts).withColumn("detected_at", F.current_timestamp()).write.mode("overwrite").json(path)
+    in_time_order(alerts).withColumn("detected_at", F.current_timestamp()).write.mode("overwrite").option(
+        "timestampFormat", TIME_FORMAT).json(path)
 
 
 def write_csv(alerts: DataFrame, path: str) -> None:
-    flat_view(in_time_order(alerts)).write.mode("overwrite").option("header", True).csv(path)
+    flat_view(in_time_order(alerts)).write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "timestampFormat", TIME_FORMAT).csv(path)
