@@ -103,3 +103,12 @@ def test_quantiles_are_exact(spark):
     for i, name in enumerate("ab"):
         for p in (0, 0.03, 0.5, 0.75, 1):
             assert got[name, float(p)] == pytest.approx(np.quantile([v[i] for v in values], p), rel=1e-9, abs=1e-9)
+
+
+def test_quantiles_of_one_crowded_bucket(spark):
+    import numpy as np
+    df = spark.range(200_000).select((F.lit(0.5) + F.pmod(F.col("id") * 7919, F.lit(200_003)) / 1e10).alias("a"))
+    values = np.array([r[0] for r in df.collect()])
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, ["a"], (0.03, 0.5, 1.0)).collect()}
+    for p, value in got.items():
+        assert value == pytest.approx(np.quantile(values, p), rel=1e-14)
