@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .tables import stored
-from .tokens import file_encoder
 
 BUDGET = 2048          # tokens of a window; a single longer turn makes a longer window
 HISTORY = 256          # tokens of repeated turns, at most
 BLOCK = 1 << 16        # tokens of a conversation that one group of rows holds
 MARK_TOKENS = 6        # of a turn's marks
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _LABELS = {"system": "System", "user": "User", "assistant": "Assistant"}
 _ROLES = {label: role for role, label in _LABELS.items()}
 _END = "</turn>\n"
@@ -96,6 +99,21 @@ def form(rows: list[Row], system: Row | None, budget: int, history: int) -> Iter
         first = last
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def token_counts(path: str, texts: list[str]) -> Iterator[int]:
+    """Tokens of each text; few encodings are held at a time."""
+    for at in range(0, len(texts), 32):
+        for found in _tokenizer(path).encode_batch_fast(texts[at:at + 32], add_special_tokens=False):
+            yield len(found)
+
+
 def turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """(conv_id, place, role, text, tokens, before): turns in order of turn, then role and text;
     null texts and roles are empty, turns without number come first, rows without conv_id make one
@@ -107,14 +125,14 @@ def turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = file_encoder(tokenizer), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         now, place, before = object(), 0, 0
         for batch in batches:
             made: list[list] = [[], [], []]
-            for conv, ids in zip(batch.column(0).to_pylist(), coder.ids(batch.column(2).to_pylist())):
+            for conv, size in zip(batch.column(0).to_pylist(), token_counts(tokenizer, batch.column(2).to_pylist())):
                 if conv != now:
                     now, place, before = conv, 0, 0
-                n = len(ids) // 4 + MARK_TOKENS
+                n = size + MARK_TOKENS
                 for column, value in zip(made, (place, n, before)):
                     column.append(value)
                 place, before = place + 1, before + n
