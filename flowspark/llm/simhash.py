@@ -205,10 +205,12 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most: int
         "doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words_each: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
+def representatives(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """The rows of docs, all columns, that stay when each component keeps its smallest doc_id. Of
-    rows that repeat this doc_id one stays (the smallest by its text). Rows without doc_id stay."""
-    classes = near_duplicates(docs.select("doc_id", "text"), words_each, most)
+    rows that repeat this doc_id one stays (the smallest by its text). Rows without doc_id stay.
+    ``classes`` (doc_id, component_id) are those of near_duplicates() where none are given."""
+    if classes is None:
+        classes = near_duplicates(docs.select("doc_id", "text"))
     chosen = stored(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("chosen_id")).agg(
         F.count(F.lit(1)).alias("times")), "chosen")
 

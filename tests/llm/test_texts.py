@@ -15,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from flowspark.llm import bytepair, langid, packing, quality, simhash, tokens, wavelet
+from flowspark.llm import bytepair, langid, packing, quality, shingles, simhash, tokens, wavelet
 from flowspark.llm.components import components
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -321,6 +321,44 @@ def test_near_duplicates_of_messy_documents(messy):
     assert ids.count(None) == 2
 
 
+def edited_texts(n=60, seed=8):
+    """Texts, and copies of each in which a few words are other ones."""
+    draw, out = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(20, 300))]
+        out.append(" ".join(words))
+        for _ in range(i % 4):
+            words = [f"x{draw.randrange(5000)}" if draw.random() < 0.02 else w for w in words]
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("tile", [shingles.TILE_SHINGLES, 300])
+def test_near_duplicates_by_shingles_against_all_pairs(spark, tile):
+    texts = [*edited_texts(), None, "", "one", "One ", "a b c d e", "a b c d e a b c d e"]
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root, wide = list(range(len(texts))), 0
+    codes = [simhash.fingerprint((t or "").encode()) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            wide += (codes[a] ^ codes[b]).bit_count() > 4
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert wide > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs, tile=tile).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_pipeline_drops_copies_with_some_other_words(spark):
+    docs = spark.createDataFrame(list(enumerate(edited_texts(8))), "doc_id long, text string")
+    kept = corpus_pipeline.deduplicated(spark, docs, "")
+    assert kept.schema == docs.schema and kept.count() < simhash.representatives(docs).count()
+
+
 def test_pipeline_against_a_plain_version(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
