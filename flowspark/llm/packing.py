@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,6 @@ SEQUENCE = 4096
 END_ID = 1
 #: Pieces of a group, on average; a group is one task's work.
 GROUP_PIECES = 1 << 16
-ROUNDS = 4
 
 Encode = Callable[[list[str]], list[bytes]]
 
@@ -108,16 +108,17 @@ def _packed(items: DataFrame, groups: int, attempt: int, sequence: int) -> DataF
     return dealt.groupBy("part").applyInPandas(pack, PACKED)
 
 
-def pack(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, rounds: int | None = None) -> DataFrame:
     """pieces() -> the same rows with sequence_id and offset. Pieces as long as a sequence stand
-    alone. An empty table gives an empty result; equal lengths and repeated rows are just more pieces."""
+    alone. An empty table gives an empty result; equal lengths and repeated rows are just more pieces.
+    Groups with a gap are halved until one is left or a round saves nothing, or for ``rounds``."""
     cut = stored(cut, "pieces")
     whole = cut.where(F.col("length") == sequence).select(
         "*", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
     open_ = cut.where(F.col("length") < sequence)
     done, pool, n = [whole], None, open_.count()
     groups = max(1, -(-n // group_pieces))
-    for attempt in range(rounds):
+    for attempt in count():
         packed = stored(_packed(open_ if pool is None else pool, groups, attempt, sequence), "packed")
         if pool is not None:
             before, after = (x.select("sequence_id").distinct().count() for x in (pool, packed))

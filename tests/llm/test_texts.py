@@ -176,6 +176,15 @@ def test_groups_with_a_gap_are_packed_again(spark):
     assert packing.lower_bound(np.array([r[4] for r in rows]), 100) <= bins[1] < bins[0]
 
 
+def test_groups_with_a_gap_are_halved_as_long_as_that_saves(spark):
+    draw = np.random.default_rng(4)
+    cut = spark.createDataFrame([(i, i, 0, 0, int(n), 0) for i, n in enumerate(draw.integers(30, 45, 1000))], packing.PIECE)
+    four, all_ = (packing.pack(cut, 100, 10, rounds).collect() for rounds in (4, None))
+    placed(all_, 100)
+    assert sorted(r["doc_id"] for r in all_) == list(range(1000))
+    assert len({r["sequence_id"] for r in all_}) < len({r["sequence_id"] for r in four})
+
+
 def test_quality_ranking(spark, messy):
     good, bad = "Was there ing of the ble. ", "Was$$$ there### ing&&& "
     rows = [(i, (good if i % 4 else bad) * (1 + i % 7), 0) for i in range(120)]
