@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE_US, benign, scan
+from samples import BASE_US, benign, scan
 from flowspark.plans import alerts as algebra, summary
 from flowspark.plans.port_scan import port_scan_alerts
 from flowspark.schema import as_alerts

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import pytest
 
-from conftest import beacon, benign, burst, dns, flow, kinds, night, scan
+from samples import beacon, benign, burst, dns, flow, kinds, night, scan
 from flowspark.config import DEFAULT, Forest, OffHours
 from flowspark.plans import engine, forest
 from flowspark.plans.beaconing import beacon_alerts

@@ -6,7 +6,7 @@ import glob
 import os
 from dataclasses import replace
 
-from conftest import beacon, benign, burst, dns, flow, kinds, night, scan
+from samples import beacon, benign, burst, dns, flow, kinds, night, scan
 import pytest
 from pyspark.sql import functions as F
 
