@@ -151,11 +151,11 @@ def linked_codes(codes: DataFrame, most: int = MAX_BITS, tile: int = TILE_CODES)
         F.col("mask_no").cast("byte").alias("mask_no"), F.col("code").bitwiseAND(F.col("mask")).alias("node"), "code")
     # A node with more codes than a tile is cut into slices; each pair of slices is a tile.
     large = keyed.groupBy("mask_no", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(
-        "mask_no", "node", F.ceil(F.col("n") / tile).cast("int").alias("slices"))
+        "mask_no", "node", F.ceil(F.col("n") / tile).cast("long").alias("slices"))
     cut = keyed.join(large, ["mask_no", "node"], "left")
-    own = F.pmod(F.xxhash64("code"), F.col("slices")).cast("int")
-    tiles = F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(F.transform(
-        F.sequence(F.lit(0), F.col("slices") - 1),
+    own = F.pmod(F.xxhash64("code"), F.col("slices"))
+    tiles = F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("slices") - 1),
         lambda other: F.least(own, other) * F.col("slices") + F.greatest(own, other)))
     rows = cut.select("mask_no", "node", "code", F.explode(tiles).alias("tile"))
     rows = rows.repartition("mask_no", "node", "tile").sortWithinPartitions(

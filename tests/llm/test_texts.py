@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -330,6 +331,20 @@ def test_near_duplicates_of_messy_documents(messy):
     assert ids.count(None) == 2
 
 
+def similar(texts):
+    """The first text that each reaches over pairs of a similarity of 0.8 or more, of all pairs and whole sets."""
+    sets = []
+    for text in texts:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
 def edited_texts(n=60, seed=8):
     """Texts, and copies of each in which a few words are other ones."""
     draw, out = random.Random(seed), []
@@ -345,18 +360,8 @@ def edited_texts(n=60, seed=8):
 @pytest.mark.parametrize("tile", [shingles.TILE_SHINGLES, 300])
 def test_near_duplicates_by_shingles_against_all_pairs(spark, tile):
     texts = [*edited_texts(), None, "", "one", "One ", "a b c d e", "a b c d e a b c d e"]
-    sets = []
-    for text in texts:
-        words = (text or "").lower().split()
-        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root, wide = list(range(len(texts))), 0
-    codes = [simhash.fingerprint((t or "").encode()) for t in texts]
-    for a, b in combinations(range(len(texts)), 2):
-        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-            wide += (codes[a] ^ codes[b]).bit_count() > 4
-            low, high = sorted((root[a], root[b]))
-            root = [low if r == high else r for r in root]
-    assert wide > 10
+    root, codes = similar(texts), [simhash.fingerprint((t or "").encode()) for t in texts]
+    assert sum((codes[i] ^ codes[r]).bit_count() > 4 for i, r in enumerate(root)) > 10
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs, tile=tile).collect()}
     assert got == dict(enumerate(root))
@@ -378,7 +383,7 @@ def test_pipeline_against_a_plain_version(spark):
     model = quality.train(spark.createDataFrame(rows, docs.schema), labels)
     rows = [r for r in rows if model.score(quality.features((r["text"] or "").encode())[None])[0] >= 0.5]
     rows.sort(key=lambda r: r["doc_id"])
-    root = reach([simhash.fingerprint((r["text"] or "").encode()) for r in rows])
+    root = similar([r["text"] for r in rows])
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     got = corpus_pipeline.run(spark, folder).collect()
     whole = library(WORDS)
