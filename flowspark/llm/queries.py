@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, chat, langid, neighbours, packing, pivots, quality, simhash, urls, wavelet
+from . import bytepair, chat, langid, neighbours, packing, pivots, quality, sentencepieces, simhash, urls, wavelet
 from .tables import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,9 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum([q.x[i] * c
            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
 SELECT query_id, rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10"""
+
+
+@query("op12_sentencepiece")
+def _(spark, d):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.digests(sentencepieces.decoded(sentencepieces.encoded(table(spark, d, "documents"), model), model))
