@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, chat, langid, neighbours, packing, pivots, quality, sentencepieces, simhash, urls, wavelet
+from . import bytepair, chat, langid, manifest, neighbours, packing, pivots, quality, sentencepieces, simhash, urls, wavelet
 from .tables import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,54 @@ SELECT query_id, rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10"""
 
 
+@query("op11_merkle")
+def _(spark, d):
+    return manifest.documents(table(spark, d, "documents")).verified()
+
+
+def _manifest_sql() -> str:
+    """Trees of up to 16 ** 7 documents a source and 16 ** 5 sources, a level at a time."""
+    upper = "".join(map(chr, range(65, 91)))
+    texts = {"text": "text", "lowered": f"translate(text, '{upper}', '{upper.lower()}')"}
+
+    def leaf(text: str) -> str:
+        values = [texts[text] if c == "text" else f"{c}::VARCHAR" for c in manifest.FIELDS]
+        return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+    table_ = [0] * 16                                          # of the reflected polynomial, by half bytes
+    for i in range(16):
+        value = i
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table_[i] = value
+    halves = "flatten([[unicode(c) & 15, unicode(c) >> 4] for c in string_split(doc_id::VARCHAR, '')])"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, [h::BIGINT for h in {halves}]), "
+           f"lambda a, h: xor({table_}[(xor(a, h) & 15) + 1]::BIGINT, a >> 4)), 4294967295::BIGINT)")
+    steps = [f"""leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (
+        SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf("lowered")} END AS claim FROM documents)),
+    s0 AS MATERIALIZED (SELECT source, i, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+    w0 AS (SELECT doc_id, source, leaf, i, coalesce(claim, leaf) AS now, '' AS proof FROM leaves)"""]
+
+    def climb(k: int, s: str, r: str, walk: str, after: str, group: str, meets: str) -> None:
+        steps.append(f"""{r}{k} AS MATERIALIZED (SELECT {group} i // 16 AS i, string_agg(node, '' ORDER BY i) AS run FROM {s}{k - 1} WHERE n > 1 GROUP BY ALL),
+    {s}{k} AS MATERIALIZED (SELECT {group} i, sha256(run) AS node, count(*) OVER ({"PARTITION BY source" if group else ""}) AS n FROM {r}{k}
+        UNION ALL SELECT {group} 0, node, 1 FROM {s}{k - 1} WHERE n = 1),
+    {after} AS MATERIALIZED (SELECT w.* EXCLUDE (i, now, proof), w.i // 16 AS i,
+        CASE WHEN run IS NULL THEN now ELSE sha256(substr(run, 1, 64 * (w.i % 16)) || now || substr(run, 64 * (w.i % 16) + 65)) END AS now,
+        proof || coalesce(substr(run, 1, 64 * (w.i % 16)) || substr(run, 64 * (w.i % 16) + 65), '') AS proof
+        FROM {walk} w LEFT JOIN {r}{k} r ON {meets} r.i = w.i // 16)""")
+    for k in range(1, 8):
+        climb(k, "s", "r", f"w{k - 1}", f"w{k}", "source,", "r.source IS NOT DISTINCT FROM w.source AND")
+    steps.append("""t0 AS MATERIALIZED (SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM s7),
+    x0 AS (SELECT w7.* EXCLUDE (i), t0.node AS subroot, t0.i FROM w7 JOIN t0 ON t0.source IS NOT DISTINCT FROM w7.source)""")
+    for k in range(1, 6):
+        climb(k, "t", "q", f"x{k - 1}", f"x{k}", "", "")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, x5.source, leaf, subroot, t5.node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t5.node AS verified FROM x5, t5"""
+
+
+ORACLES["op11_merkle"] = _manifest_sql()
+
+
 @query("op12_sentencepiece")
 def _(spark, d):
     model = public_tokenizers.path("piece_bpe_32k.model")
