@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, chat, langid, manifest, neighbours, packing, pivots, quality, sentencepieces, simhash, urls, wavelet
+from . import bytepair, chat, langid, lexical, manifest, neighbours, packing, pivots, quality, sentencepieces, simhash, urls, wavelet
 from .tables import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,23 @@ ORACLES["op11_merkle"] = _manifest_sql()
 def _(spark, d):
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepieces.digests(sentencepieces.decoded(sentencepieces.encoded(table(spark, d, "documents"), model), model))
+
+
+@query("op13_lexical")
+def _(spark, d):
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_UPPER = "".join(map(chr, range(65, 91)))
+ORACLES["op13_lexical"] = f"""
+WITH terms AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{lexical.TERM}')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+wanted AS (SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{lexical.TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+weights AS (SELECT term, floor(1000 * ln((2.0 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, corpus GROUP BY term),
+scores AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len))))::BIGINT AS score
+           FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= {lexical.TOP}"""
