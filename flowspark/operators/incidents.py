@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tiles import cluster_intervals, into_tiles, tile_of, trailing_metric
+from .tiles import cluster_intervals, tile_of, trailing_metric
 
 
 def busy_keys(df: DataFrame, keys: Sequence[str], over: int, value: str | None = None) -> DataFrame:
@@ -37,21 +37,16 @@ def to_units(df: DataFrame, dims: Sequence[str], extra: Sequence[Column] = ()) -
 
 
 def incidents(units: DataFrame, keys: Sequence[str], window_us: int, over: int,
-              value: str | None = None, tile_windows: int = 16) -> DataFrame:
+              value: str | None = None) -> DataFrame:
     """``keys, start_us, end_us, peak`` for every incident of every key.
 
     A row violates when its trailing metric is strictly above ``over``.  An incident begins at
     the oldest row of its first violating window, ends at its last violating row, and absorbs
     later violating windows that start no more than one window after that end.
     """
-    tile_us = window_us * tile_windows
-    hits = trailing_metric(units, keys, window_us, tile_us, over, value)
-    spans = hits.select(*keys, "tile", F.col("left_us").alias("start_us"),
-                        F.col("ts_us").alias("end_us"), F.col("metric").alias("peak"))
-    return cluster_intervals(
-        spans, keys, "start_us", "end_us", window_us,
-        {"peak": (F.max("peak"), F.max("peak"))},
-    )
+    hits = trailing_metric(units, keys, window_us, over, value)
+    spans = hits.select(*keys, F.col("left_us").alias("start_us"), F.col("ts_us").alias("end_us"), F.col("metric").alias("peak"))
+    return cluster_intervals(spans, keys, "start_us", "end_us", window_us, {"peak": F.max("peak")})
 
 
 def rows_of_incidents(units: DataFrame, found: DataFrame, keys: Sequence[str], window_us: int,
@@ -69,7 +64,3 @@ def rows_of_incidents(units: DataFrame, found: DataFrame, keys: Sequence[str], w
             .join(spread, keys + ["tile"])
             .where(F.col("ts_us").between(F.col("start_us"), F.col("end_us")))
             .drop("tile"))
-
-
-__all__ = ["busy_keys", "only_busy", "to_units", "incidents", "rows_of_incidents",
-           "into_tiles", "tile_of"]

@@ -1,17 +1,17 @@
-"""Time-tiled window metrics that survive a hot key.
+"""Window metrics and clusters that survive a hot key.
 
-A window partitioned by a busy key alone puts that key's whole history into one task.
-Here every window is partitioned by (key, tile) where a tile is a fixed span of event
-time, and each row is also copied into the tiles its trailing window can reach, so a
-tile never needs to look at a neighbour.  Metrics are running sums over "enter" and
-"leave" marks: one pass, no per-row frame to re-scan and no per-row set to hold.
+A window partitioned by a busy key puts that key's whole history into one task.  Here windows are
+running sums over "enter" and "leave" marks, scanned by volume (``scan.running``): no key, and no
+stretch of time of a key, has to fit one task, and no per-row frame or set is held.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .scan import running
 
 
 def tile_of(ts: Column | str, tile_us: int) -> Column:
@@ -21,96 +21,58 @@ def tile_of(ts: Column | str, tile_us: int) -> Column:
     return F.call_function("div", ts - F.pmod(ts, width), width)
 
 
-def into_tiles(df: DataFrame, ts: str, reach_us: int, tile_us: int) -> DataFrame:
-    """Copy each row to every tile touched by ``[ts, ts + reach]``.
-
-    ``home`` marks the copy in the row's own tile.
-    """
-    home = tile_of(ts, tile_us)
-    last = tile_of(F.col(ts) + F.lit(reach_us), tile_us)
-    return (df.withColumn("tile", F.explode(F.sequence(home, last)))
-              .withColumn("home", F.col("tile") == home))
-
-
-def trailing_metric(units: DataFrame, keys: Sequence[str], window_us: int, tile_us: int,
-                    over: int, value: str | None = None, weight: str = "n") -> DataFrame:
+def trailing_metric(units: DataFrame, keys: Sequence[str], window_us: int, over: int,
+                    value: str | None = None, weight: str = "n") -> DataFrame:
     """Rows whose trailing-window metric exceeds ``over``.
 
     The window at ``t`` is ``[t - window, t]``, both ends included.  The metric is the sum
     of ``weight`` (``value`` is None) or the number of distinct ``value``.  ``units`` must
-    hold ``keys``, ``ts_us`` and ``weight`` or ``value``; it may repeat instants.
+    hold ``keys``, ``ts_us`` and ``weight`` or ``value``; it may repeat instants, and the last
+    row of an instant has the instant's metric.
 
-    Returns ``keys, tile, ts_us, metric, left_us`` with ``left_us`` the time of the oldest
-    row inside the window.
+    Returns ``keys, ts_us, metric, left_us`` with ``left_us`` the time of the oldest row
+    inside the window.
     """
     if over < 1:
         raise ValueError("the threshold of a sliding rule must be at least 1")
     keys = list(keys)
-    needed = keys + ["ts_us"] + ([value] if value else [weight])
-    # One exchange on (keys, tile) serves every window below.
-    tiled = into_tiles(units.select(*needed), "ts_us", window_us, tile_us).repartition(*keys, "tile")
-
-    in_tile = Window.partitionBy(*keys, "tile")
     if value is None:
         enter = leave = F.col(weight)
-        marked = tiled
+        rows = units.select(*keys, "ts_us", weight)
     else:
-        same = Window.partitionBy(*keys, "tile", value).orderBy("ts_us")
-        before, after = F.lag("ts_us").over(same), F.lead("ts_us").over(same)
-        marked = tiled.select(
-            "*",
-            F.when(before.isNull() | (F.col("ts_us") - before > window_us), 1).otherwise(0).alias("enter"),
-            F.when(after.isNull() | (after - F.col("ts_us") > window_us), 1).otherwise(0).alias("leave"),
-        )
-        enter, leave = F.col("enter"), F.col("leave")
-
-    marked = (marked
-              .withColumn("entries", F.sum(enter).over(in_tile))
-              .where(F.col("entries") > over)           # this tile cannot violate otherwise
-              .withColumn("next_us", F.lead("ts_us").over(in_tile.orderBy("ts_us")))
-              .withColumn("origin_us", F.min("ts_us").over(in_tile)))
-    marks = marked.select(
-        *keys, "tile", "origin_us",
-        F.explode(F.array(
-            F.struct(F.col("ts_us").alias("at"), enter.cast("bigint").alias("delta"),
-                     F.col("home").alias("row"), F.lit(None).cast("bigint").alias("next_us")),
-            F.struct((F.col("ts_us") + window_us + 1).alias("at"), (-leave).cast("bigint").alias("delta"),
-                     F.lit(False).alias("row"), F.col("next_us").alias("next_us")),
-        )).alias("mark"),
-    ).select(*keys, "tile", "origin_us", "mark.*")
-
-    so_far = in_tile.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return (marks
-            .withColumn("metric", F.sum("delta").over(so_far))
-            # The window starts right after the last row that left it.
-            .withColumn("left_us", F.coalesce(F.max("next_us").over(so_far), F.col("origin_us")))
-            .where(F.col("row") & (F.col("metric") > over))
-            .select(*keys, "tile", F.col("at").alias("ts_us"), "metric", "left_us"))
+        rows = running(units.select(*keys, value, "ts_us"), [*keys, value], ["ts_us"],
+                       {"before_us": ("lag", "ts_us"), "after_us": ("next", "ts_us")})
+        before, after = F.col("before_us"), F.col("after_us")
+        enter = F.when(before.isNull() | (F.col("ts_us") - before > window_us), 1).otherwise(0)
+        leave = F.when(after.isNull() | (after - F.col("ts_us") > window_us), 1).otherwise(0)
+
+    # A row enters at its time and leaves one microsecond after the window; who leaves goes first.
+    marks = rows.select(*keys, F.explode(F.array(
+        F.struct(F.col("ts_us").alias("at"), F.lit(1).alias("enters"), F.lit(0).alias("leaves"), enter.cast("bigint").alias("delta")),
+        F.struct((F.col("ts_us") + window_us + 1).alias("at"), F.lit(0).alias("enters"), F.lit(1).alias("leaves"),
+                 (-leave).cast("bigint").alias("delta")))).alias("mark")).select(*keys, "mark.*")
+    scanned = running(marks, keys, ["at", "enters"], {
+        "metric": ("sum", "delta"), "entered": ("sum", "enters"), "left": ("sum", "leaves")}).where("enters = 1")
+    hits = scanned.where(F.col("metric") > over).select(*keys, F.col("at").alias("ts_us"), "metric", (F.col("left") + 1).alias("nth"))
+    # Rows leave in the order they came, so the oldest one inside is known by its number.
+    oldest = scanned.select(*keys, F.col("entered").alias("nth"), F.col("at").alias("left_us"))
+    return hits.join(oldest, [*keys, "nth"]).select(*keys, "ts_us", "metric", "left_us")
+
+
+def clusters(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: Column | int) -> DataFrame:
+    """df with ``cluster``, the number (from 1) of the union of a key's intervals that overlap or lie
+    at most ``gap`` apart; a gap given by a column must be the same for all rows of a key."""
+    gap = F.lit(gap) if isinstance(gap, int) else gap
+    reached = running(df, keys, [start, end], {"_reach": ("max_before", end)})
+    breaks = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap)
+    marked = reached.select(*df.columns, breaks.cast("int").alias("_breaks"), (~breaks).cast("int").alias("_stays"))
+    # Of equal intervals the one that opens the cluster comes first.
+    return running(marked, keys, [start, end, "_stays"], {"cluster": ("sum", "_breaks")}).drop("_breaks", "_stays")
 
 
 def cluster_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: Column | int,
-                      folds: dict[str, tuple[Column, Column]], tile: str = "tile") -> DataFrame:
-    """Union intervals of a key that overlap or lie at most ``gap`` apart.
-
-    ``folds`` names the values kept per cluster: (aggregate over rows, aggregate merging two
-    partial results under the same name).  Rows are first clustered inside ``tile`` (any
-    integer that grows with ``start``), which leaves at most tile/gap partial clusters per
-    tile, and only those meet in the per-key pass.  A break of the whole order is a break of
-    the tile too, so the two passes give the clusters of one sequential scan.
-    """
-    keys = list(keys)
-    gap = F.lit(gap) if isinstance(gap, int) else gap
-
-    def one_pass(rows: DataFrame, by: list[str], aggs: list[Column]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(start, end)
-        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("breaks", (reach.isNull() | (F.col(start) > reach + gap)).cast("int"))
-        rows = rows.withColumn(
-            "cluster", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return rows.groupBy(*by, "cluster").agg(
-            F.min(start).alias(start), F.max(end).alias(end), *aggs)
-
-    rows_aggs = [first.alias(name) for name, (first, _) in folds.items()]
-    merge_aggs = [merge.alias(name) for name, (_, merge) in folds.items()]
-    partial = one_pass(df, keys + [tile], rows_aggs).drop("cluster")
-    return one_pass(partial, keys, merge_aggs).drop("cluster")
+                      folds: dict[str, Column]) -> DataFrame:
+    """One row for each of the ``clusters``: ``keys``, its ``start`` and ``end``, and ``folds``,
+    aggregates by name over its rows."""
+    return clusters(df, keys, start, end, gap).groupBy(*keys, "cluster").agg(
+        F.min(start).alias(start), F.max(end).alias(end), *[fold.alias(name) for name, fold in folds.items()]).drop("cluster")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, Settings, us
 from ..functions.text import seen_text
-from ..operators.tiles import cluster_intervals, tile_of
+from ..operators.tiles import clusters
 from ..schema import ALERT, ALERT_LABEL, SEVERITY_RANK, WHOLE_CAPTURE_TYPES, literal_map
+from ..session import stored
 
 
 
@@ -61,22 +62,18 @@ def merge_duplicates(alerts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     columns = [f.name for f in ALERT.fields]
     best = F.struct("severity_rank", F.length("details").alias("_detail"),
                     (-F.unix_micros("timestamp")).alias("_early"), F.struct(*columns).alias("alert"))
-    rows = alerts.select("alert_type", "alert_key", best.alias("best"),
-                         F.unix_micros("timestamp").alias("at_us"),
-                         F.unix_micros(F.coalesce("first_seen", "timestamp")).alias("start_us"),
-                         F.unix_micros(F.coalesce("last_seen", "timestamp")).alias("end_us"))
-    always = F.col("alert_type").isin(*WHOLE_CAPTURE_TYPES)
-    folds = {"best": (F.max("best"), F.max("best")), "at_us": (F.min("at_us"), F.min("at_us")),
-             "merged": (F.count(F.lit(1)), F.sum("merged"))}
-    whole = rows.where(always).groupBy("alert_key").agg(
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
-        *[first.alias(name) for name, (first, _) in folds.items()])
-    timed = rows.where(~always).withColumn(
-        "gap_us", F.coalesce(F.try_element_at(literal_map(gaps), F.col("alert_type")), F.lit(0)))
-    widest = max(gaps.values())
-    timed = timed.withColumn("tile", tile_of("start_us", 64 * widest))
-    clustered = cluster_intervals(timed, ["alert_key", "gap_us"], "start_us", "end_us", F.col("gap_us"), folds)
-    merged = whole.unionByName(clustered.drop("gap_us"))
+    rows = stored(alerts.select("alert_type", "alert_key", best.alias("best"),
+                                F.unix_micros("timestamp").alias("at_us"),
+                                F.unix_micros(F.coalesce("first_seen", "timestamp")).alias("start_us"),
+                                F.unix_micros(F.coalesce("last_seen", "timestamp")).alias("end_us"),
+                                F.monotonically_increasing_id().alias("id")), "alerts")
+    # Only keys and times are sorted into clusters; the alerts join their cluster afterwards.
+    gap = F.coalesce(F.try_element_at(literal_map(gaps), F.col("alert_type")), F.lit(0))
+    timed = rows.where(~F.col("alert_type").isin(*WHOLE_CAPTURE_TYPES)).select("alert_key", gap.alias("gap_us"), "start_us", "end_us", "id")
+    numbered = clusters(timed, ["alert_key", "gap_us"], "start_us", "end_us", F.col("gap_us")).select("id", "gap_us", "cluster")
+    merged = rows.join(numbered, "id", "left").groupBy("alert_key", "gap_us", "cluster").agg(
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("best").alias("best"), F.min("at_us").alias("at_us"),
+        F.count(F.lit(1)).alias("merged"))
 
     first, last = F.timestamp_micros("start_us"), F.timestamp_micros("end_us")
     several = F.col("merged") > 1

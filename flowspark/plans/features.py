@@ -7,30 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Settings, us
-from ..operators.tiles import into_tiles, tile_of
+from ..operators.scan import running
+from ..operators.tiles import tile_of
 
 
-def _before(rows: DataFrame, keys: Sequence[str], window_us: int, tile_us: int, out: str) -> DataFrame:
+def _before(rows: DataFrame, keys: Sequence[str], window_us: int, out: str) -> DataFrame:
     """Per (keys, instant, block): rows and bytes that precede it inside the trailing window.
 
     "Precede" is the order (time, block).  Sums run over enter and leave marks of pre-counted
-    groups, partitioned by (keys, tile): neither a hot key nor a hot instant meets one task.
+    groups, scanned by volume: neither a hot key nor a hot instant meets one task.
     """
     keys = list(keys)
     groups = rows.groupBy(*keys, "ts_us", "block").agg(
         F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"))
-    tiled = into_tiles(groups, "ts_us", window_us, tile_us)
-    marks = tiled.select(*keys, "tile", F.explode(F.array(
+    marks = groups.select(*keys, F.explode(F.array(
         F.struct(F.col("ts_us").alias("at"), F.lit(1).alias("enters"), F.col("block").alias("block"),
-                 F.col("n").alias("n"), F.col("bytes").alias("bytes"), F.col("home").alias("home")),
+                 F.col("n").alias("n"), F.col("bytes").alias("bytes")),
         F.struct((F.col("ts_us") + window_us + 1).alias("at"), F.lit(0).alias("enters"),
-                 F.col("block").alias("block"), (-F.col("n")).alias("n"), (-F.col("bytes")).alias("bytes"),
-                 F.lit(False).alias("home")))).alias("m")).select(*keys, "tile", "m.*")
-    w = (Window.partitionBy(*keys, "tile").orderBy("at", "enters", "block")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return (marks.withColumn(f"{out}_n", F.coalesce(F.sum("n").over(w), F.lit(0)))
-            .withColumn(f"{out}_bytes", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
-            .where("home").select(*keys, F.col("at").alias("ts_us"), "block", f"{out}_n", f"{out}_bytes"))
+                 F.col("block").alias("block"), (-F.col("n")).alias("n"), (-F.col("bytes")).alias("bytes")))).alias("m")).select(*keys, "m.*")
+    sums = running(marks, keys, ["at", "enters", "block"], {"_n": ("sum", "n"), "_bytes": ("sum", "bytes")})
+    return sums.where("enters = 1").select(
+        *keys, F.col("at").alias("ts_us"), "block", (F.col("_n") - F.col("n")).alias(f"{out}_n"),
+        (F.col("_bytes") - F.coalesce("bytes", F.lit(0))).alias(f"{out}_bytes"))
 
 
 def flow_features(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -41,10 +39,9 @@ def flow_features(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     values, so even an instant shared by most of the input is ranked by many tasks.
     """
     window = us(s.forest.window_s)
-    tile = window * s.tile_windows
     rows = flows.withColumn("block", tile_of("seq", s.seq_block))
-    src = _before(rows, ["src_ip"], window, tile, "src")
-    pair = _before(rows, ["src_ip", "dst_ip"], window, tile, "pair").drop("pair_bytes")
+    src = _before(rows, ["src_ip"], window, "src")
+    pair = _before(rows, ["src_ip", "dst_ip"], window, "pair").drop("pair_bytes")
     before = pair.join(src, ["src_ip", "ts_us", "block"])
 
     own_src = Window.partitionBy("src_ip", "ts_us", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -26,7 +26,7 @@ class SlidingRule:
     tile_windows: int = 16
 
     def found(self, units: DataFrame) -> DataFrame:
-        return incidents(units, self.keys, self.window_us, self.over, self.value, self.tile_windows)
+        return incidents(units, self.keys, self.window_us, self.over, self.value)
 
     def metric_units(self, rows: DataFrame) -> DataFrame:
         return to_units(rows, [*self.keys, self.value] if self.value else self.keys)

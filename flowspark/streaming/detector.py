@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, Settings, us
 from ..operators.containment import endpoints, listed, static_entries
-from ..operators.tiles import cluster_intervals, tile_of, trailing_metric
+from ..operators.tiles import cluster_intervals, trailing_metric
 from ..plans import alerts as algebra, blocklist, forest, off_hours
 from ..plans.beaconing import beacon_alerts
 from ..plans.brute_force import brute_force_rule
@@ -150,13 +150,12 @@ class StreamDetector:
         """Advance one rule: new violations meet the open incidents; what can no longer grow is
         reported.  Also returns the start of the oldest incident left open."""
         units = rule.metric_units(rule.select(known.where(F.col("ts_us") <= new_mark)))
-        hits = trailing_metric(units, rule.keys, rule.window_us, rule.window_us * rule.tile_windows, rule.over, rule.value)
+        hits = trailing_metric(units, rule.keys, rule.window_us, rule.over, rule.value)
         spans = hits.where(F.col("ts_us") > mark).select(
             *rule.keys, F.col("left_us").alias("start_us"), F.col("ts_us").alias("end_us"), F.col("metric").alias("peak"))
         state = self.open[rule.name]
         merged = cluster_intervals(
-            spans.unionByName(state.read(batch - 1)).withColumn("tile", tile_of("start_us", rule.window_us * rule.tile_windows)),
-            rule.keys, "start_us", "end_us", rule.window_us, {"peak": (F.max("peak"), F.max("peak"))})
+            spans.unionByName(state.read(batch - 1)), rule.keys, "start_us", "end_us", rule.window_us, {"peak": F.max("peak")})
         merged = StateTable(self.spark, self.folder, f"merged_{rule.name}", state.schema).write(merged, batch)
         closed = F.col("end_us") + 2 * rule.window_us < new_mark
         oldest = state.write(merged.where(~closed), batch).agg(F.min("start_us")).first()[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowspark.operators.incidents import incidents, rows_of_incidents, to_units
 from flowspark.operators.quantiles import exact_quantiles
-from flowspark.operators.tiles import cluster_intervals, tile_of, trailing_metric
+from flowspark.operators.tiles import cluster_intervals, trailing_metric
 
 
 def scan_rows(rows, window, over, distinct):
@@ -30,9 +30,8 @@ def scan_rows(rows, window, over, distinct):
 
 
 @pytest.mark.parametrize("distinct", [False, True])
-@pytest.mark.parametrize("tile_windows", [1, 16])
-def test_equals_sequential_scan(spark, distinct, tile_windows):
-    rng = random.Random(7 + tile_windows)
+def test_equals_sequential_scan(spark, distinct):
+    rng = random.Random(7)
     rows, want = [], set()
     for key in range(60):
         size = rng.randint(1, 40)
@@ -42,7 +41,7 @@ def test_equals_sequential_scan(spark, distinct, tile_windows):
             want.add((key, a, b, peak))
     df = spark.createDataFrame(rows, "k int, ts_us long, v int")
     units = to_units(df, ["k", "v"])
-    got = incidents(units, ["k"], 10, 3, "v" if distinct else None, tile_windows)
+    got = incidents(units, ["k"], 10, 3, "v" if distinct else None)
     assert {tuple(r) for r in got.select("k", "start_us", "end_us", "peak").collect()} == want
     assert want
 
@@ -57,27 +56,26 @@ def test_incident_rows_are_all_rows_between(spark):
         sorted(r.ts_us for r in inside) == [0, 1, 2, 3, 9, 12, 13, 14, 15]
 
 
-def test_one_hot_key_is_spread_over_tiles(spark):
-    """One key holds everything, most of it at one instant: many (key, tile) groups of pre-counted
-    rows, not one group of raw rows."""
+def test_one_hot_key(spark):
+    """One key holds everything, most of it at one instant: pre-counted rows, cut by volume."""
     hot = spark.range(200_000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 2 == 0, F.lit(5_000)).otherwise(
         F.col("id")).alias("ts_us"))
     units = to_units(hot, ["k"])
     assert units.count() <= 100_001
-    hits = trailing_metric(units, ["k"], 100, 1_600, 100_000)
-    assert hits.select("tile").distinct().count() == 1       # only the crowded instant's tile
+    hits = trailing_metric(units, ["k"], 100, 100_000)
+    assert hits.agg(F.min("ts_us"), F.max("ts_us")).first()[:] == (5_000, 5_099)
     got = incidents(units, ["k"], 100, 100_000).first()
     assert (got["start_us"], got["end_us"], got["peak"]) == (4_901, 5_099, 100_000 + 51)   # 51 odd times fit
 
 
 def test_threshold_below_one_is_refused(spark):
     with pytest.raises(ValueError):
-        trailing_metric(spark.createDataFrame([(1, 1, 1)], "k int, ts_us long, n long"), ["k"], 5, 50, 0)
+        trailing_metric(spark.createDataFrame([(1, 1, 1)], "k int, ts_us long, n long"), ["k"], 5, 0)
 
 
-@pytest.mark.parametrize("tile", [3, 1000])
-def test_clusters_equal_sequential_merge(spark, tile):
-    rng = random.Random(tile)
+@pytest.mark.parametrize("seed", [3, 1000])
+def test_clusters_equal_sequential_merge(spark, seed):
+    rng = random.Random(seed)
     rows = [(rng.randint(0, 20), s, s + rng.randint(0, 12)) for s in (rng.randint(0, 300) for _ in range(400))]
     want = Counter()
     for k in {r[0] for r in rows}:
@@ -89,8 +87,8 @@ def test_clusters_equal_sequential_merge(spark, tile):
             else:
                 clusters.append([s, e, 1])
         want.update((k, *c) for c in clusters)
-    df = spark.createDataFrame(rows, "k int, s long, e long").withColumn("tile", tile_of("s", tile))
-    got = cluster_intervals(df, ["k"], "s", "e", 2, {"n": (F.count(F.lit(1)), F.sum("n"))})
+    df = spark.createDataFrame(rows, "k int, s long, e long")
+    got = cluster_intervals(df, ["k"], "s", "e", 2, {"n": F.count(F.lit(1))})
     assert Counter(tuple(r) for r in got.select("k", "s", "e", "n").collect()) == want
 
 
