@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Documents of each language the network is fitted on (in expectation; drawn by hash of doc_id),
-#: and words taken from each of them.
+#: words taken from each of them, and characters of a word, from a random place of a longer one.
 SAMPLE_DOCS = 500
 SAMPLE_WORDS = 40
+SAMPLE_CHARACTERS = 200
 HIDDEN = 12
 SEGMENT = 24
 EPOCHS = 3
@@ -126,6 +127,12 @@ def segments(word: bytes) -> list[bytes]:
     return [framed[i:i + SEGMENT] for i in range(0, len(framed), SEGMENT)]
 
 
+def stretch(word: str, draw: np.random.Generator) -> str:
+    """SAMPLE_CHARACTERS of a long word, from any place: a text without spaces is one word."""
+    at = int(draw.integers(0, len(word) - SAMPLE_CHARACTERS + 1))
+    return word[at:at + SAMPLE_CHARACTERS]
+
+
 def fit(words: list[tuple[bytes, int]], languages: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = 256) -> Network:
     """words: (bytes, language number). Adam over batches of segments of one length; languages
     weigh alike."""
@@ -241,7 +248,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = [w for w in text.lower().split() if any(map(str.isalpha, w))]
                 draw = np.random.default_rng(doc & (1 << 63) - 1)
-                out.append([words[i][:200] for i in draw.integers(0, len(words), sample_words)] if words else [])
+                chosen = [words[i] for i in draw.integers(0, len(words), sample_words)] if words else []
+                out.append([stretch(w, draw) if len(w) > SAMPLE_CHARACTERS else w for w in chosen])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string())), batch.column(2)],
                                              names=["doc_id", "words", "lang"])
     rows = drawn.mapInArrow(run, "doc_id long, words array<string>, lang string").groupBy("doc_id").agg(

@@ -3,8 +3,9 @@
 Documents become pieces of at most one sequence. Pieces are dealt to groups by a hash; a group packs
 its pieces best-fit decreasing and compares its number of sequences with the largest of several
 dual-feasible-function bounds. Where they are equal no packing of that group is better and it is
-final. The groups with a gap put their pieces together, deal them anew to half as many groups and
-pack again, as long as that saves sequences.
+final. A group with a gap releases its loosest sequences, as many as hold the gap in free places;
+released sequences of all groups are dealt anew, whole, to groups of the same size and repacked, as
+long as that saves sequences. A round moves a small part of the round before, and no group grows.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ from .tokens import file_encoder
 
 SEQUENCE = 4096
 END_ID = 1
-#: Pieces of a group, on average; a group is one task's work.
+#: Pieces of a group, at most but for chance: a group is one task's work, and is dealt four fifths of this.
 GROUP_PIECES = 1 << 16
-
 Encode = Callable[[list[str]], list[bytes]]
 
 PIECE = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECE}, sequence_id long, offset long, gap long"
+PACKED = f"{PIECE}, sequence_id long, offset long, loose boolean"
 
 
 def pieces(docs: DataFrame, encode: Callable[[], Encode], sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -96,51 +96,57 @@ def best_fit(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray,
     return bins, offsets, used
 
 
+def loosest(free: np.ndarray, gap: int, sequence: int = SEQUENCE) -> np.ndarray:
+    """The sequences with most free places that together have the gap in them."""
+    order = np.argsort(-free, kind="stable")
+    return order[:int(np.searchsorted(np.cumsum(free[order]), gap * sequence)) + 1]
+
+
 def _packed(items: DataFrame, groups: int, attempt: int, sequence: int) -> DataFrame:
+    """Items (of whole sequences, from the second attempt on) packed in groups; ``loose`` marks the
+    sequences that a group with a gap releases. A group that saves nothing keeps what it was dealt."""
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("item", ignore_index=True)
-        bins, offsets, used = best_fit(rows["length"].to_numpy(), sequence)
-        label = (attempt << 56) | (int(rows["part"].iloc[0]) << 28)
-        return rows.drop(columns="part").assign(sequence_id=label + bins, offset=offsets,
-                                                gap=used - lower_bound(rows["length"].to_numpy(), sequence))
-    dealt = items.select("item", "doc_id", "piece", "start", "length", "ids_crc32",
-                         F.pmod(F.xxhash64("item", F.lit(attempt)), F.lit(groups)).alias("part"))
+        part = int(rows["part"].iloc[0])
+        rows = rows.drop(columns="part").sort_values("item", ignore_index=True)
+        lengths = rows["length"].to_numpy()
+        bins, offsets, used = best_fit(lengths, sequence)
+        if attempt and used >= rows["sequence_id"].nunique():
+            return rows.assign(loose=False)
+        gap, loose = used - lower_bound(lengths, sequence), np.zeros(used, dtype=bool)
+        if gap:
+            loose[loosest(sequence - np.bincount(bins, weights=lengths).astype(np.int64), gap, sequence)] = True
+        return rows.assign(sequence_id=((attempt << 56) | (part << 28)) + bins, offset=offsets, loose=loose[bins])
+    dealt = items.select(*(c for c in items.columns if c != "loose"), F.pmod(
+        F.xxhash64("sequence_id" if attempt else "item", F.lit(attempt)), F.lit(groups)).alias("part"))
     return dealt.groupBy("part").applyInPandas(pack, PACKED)
 
 
 def pack(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, rounds: int | None = None) -> DataFrame:
     """pieces() -> the same rows with sequence_id and offset. Pieces as long as a sequence stand
-    alone. An empty table gives an empty result; equal lengths and repeated rows are just more pieces.
-    Groups with a gap are halved until one is left or a round saves nothing, or for ``rounds``."""
+    alone. An empty table gives an empty result; equal lengths and repeated rows are just more pieces,
+    placed in the order of ``item``. Released sequences are exchanged until fewer than two groups
+    release any, a round saves nothing, or for ``rounds``."""
     cut = stored(cut, "pieces")
-    whole = cut.where(F.col("length") == sequence).select(
-        "*", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
-    open_ = cut.where(F.col("length") < sequence)
-    done, pool, n = [whole], None, open_.count()
-    groups = max(1, -(-n // group_pieces))
+    unplaced = cut.withColumn("sequence_id", -F.col("item") - 1).withColumn("offset", F.lit(0).cast("long")).withColumn("loose", F.lit(False))
+    done, pool, saved = [unplaced.where(F.col("length") == sequence)], unplaced.where(F.col("length") < sequence), True
     for attempt in count():
-        packed = stored(_packed(open_ if pool is None else pool, groups, attempt, sequence), "packed")
-        if pool is not None:
-            before, after = (x.select("sequence_id").distinct().count() for x in (pool, packed))
-            if after >= before:
-                break
-            done[-1] = packed
-        else:
-            done.append(packed)
-        gaps = done[-1].where("gap > 0")
-        open_groups = gaps.select(F.shiftright("sequence_id", 28)).distinct().count()
-        if attempt + 1 == rounds or open_groups < 2:
-            return _all(done)
-        done, pool = [*done[:-1], done[-1].where("gap <= 0"), gaps], gaps
-        groups = open_groups // 2
-    return _all(done)
+        n = pool.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        if not n[0] or not saved or attempt == rounds:
+            break
+        packed = stored(_packed(pool, max(1, -(-5 * n[0] // (4 * group_pieces))), attempt, sequence), "packed")
+        after = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("loose"), F.shiftright("sequence_id", 28)))).first()
+        saved = after[0] < n[1]
+        if after[1] < 2:
+            return _all([*done, packed])
+        done, pool = [*done, packed.where(~F.col("loose"))], packed.where("loose")
+    return _all([*done, pool])
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.drop("gap", "item")
+    return out.drop("loose", "item")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:

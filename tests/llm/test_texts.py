@@ -11,10 +11,13 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import __spark_entry__ as entry
 import corpus_pipeline
 from flowspark.llm import bytepair, langid, packing, quality, shingles, simhash, tokens, wavelet
 from flowspark.llm.components import components
@@ -177,13 +180,47 @@ def test_groups_with_a_gap_are_packed_again(spark):
     assert packing.lower_bound(np.array([r[4] for r in rows]), 100) <= bins[1] < bins[0]
 
 
-def test_groups_with_a_gap_are_halved_as_long_as_that_saves(spark):
-    draw = np.random.default_rng(4)
-    cut = spark.createDataFrame([(i, i, 0, 0, int(n), 0) for i, n in enumerate(draw.integers(30, 45, 1000))], packing.PIECE)
-    four, all_ = (packing.pack(cut, 100, 10, rounds).collect() for rounds in (4, None))
-    placed(all_, 100)
-    assert sorted(r["doc_id"] for r in all_) == list(range(1000))
-    assert len({r["sequence_id"] for r in all_}) < len({r["sequence_id"] for r in four})
+def test_rounds_move_fewer_pieces_and_no_group_grows(spark, monkeypatch):
+    """Probe of every round: pieces dealt, and the largest group."""
+    draw, plain, seen = np.random.default_rng(4), packing._packed, []
+
+    def probe(items, groups, attempt, sequence):
+        dealt = items.groupBy(F.pmod(F.xxhash64("sequence_id" if attempt else "item", F.lit(attempt)), F.lit(groups))).count().collect()
+        seen.append((sum(r[1] for r in dealt), max(r[1] for r in dealt)))
+        return plain(items, groups, attempt, sequence)
+    monkeypatch.setattr(packing, "_packed", probe)
+    cut = spark.createDataFrame([(i, i, 0, 0, int(n), 0) for i, n in enumerate(draw.integers(1, 60, 20_000))], packing.PIECE)
+    got = packing.pack(cut, 100, 200).collect()
+    placed(got, 100)
+    assert sorted(r["doc_id"] for r in got) == list(range(20_000))
+    sizes = [n for n, _ in seen]
+    assert len(sizes) > 1 and all(b < a / 4 for a, b in zip(sizes, sizes[1:])) and max(m for _, m in seen) <= 220
+    first = len({r["sequence_id"] for r in packing.pack(cut, 100, 200, 1).collect()})
+    assert len({r["sequence_id"] for r in got}) <= first
+
+
+def test_loosest_sequences_hold_the_gap():
+    free = np.array([0, 90, 5, 60, 40])
+    assert packing.loosest(free, 1, 100).tolist() == [1, 3] and packing.loosest(free, 1, 90).tolist() == [1]
+
+
+def test_packing_query_against_whole_texts(spark):
+    """The registered query: every piece of every document once, gapless places, near the least number."""
+    docs, whole = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist(), library(WORDS)
+    got = [r.asDict() for r in entry.queries()["op4_packing"](spark, "/root/testdata/sf0.001").collect()]
+    want = Counter((r["doc_id"], i, 4096 * i, len(ids[4096 * i:4096 * (i + 1)]), zlib.crc32(np.array(ids[4096 * i:4096 * (i + 1)], "<u4").tobytes()))
+                   for r in docs for ids in [whole.encode(r["text"] or "", add_special_tokens=False).ids + [1]] for i in range(-(-len(ids) // 4096)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    placed(got, 4096)
+    assert len(pa_groups(got)) <= packing.lower_bound(np.array([r["length"] for r in got])) + 1
+
+
+def test_simhash_query_against_all_pairs(spark):
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    docs.sort(key=lambda r: r["doc_id"])
+    codes = [simhash.fingerprint((r["text"] or "").encode()) for r in docs]
+    want = {(r["doc_id"], f"{c:016x}", docs[i]["doc_id"]) for r, c, i in zip(docs, codes, reach(codes))}
+    assert {tuple(r) for r in entry.queries()["op9_simhash"](spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect()} == want
 
 
 def test_quality_ranking(spark, messy):
@@ -367,6 +404,13 @@ def test_near_duplicates_by_shingles_against_all_pairs(spark, tile):
     assert got == dict(enumerate(root))
 
 
+def test_long_words_are_drawn_from_any_place():
+    word = "".join(chr(0x4e00 + i) for i in range(1000))
+    parts = [langid.stretch(word, np.random.default_rng(i)) for i in range(50)]
+    assert all(len(p) == langid.SAMPLE_CHARACTERS and p in word for p in parts)
+    assert min(word.index(p) for p in parts) < 100 and max(word.index(p) for p in parts) > 700
+
+
 def test_pipeline_drops_copies_with_some_other_words(spark):
     docs = spark.createDataFrame(list(enumerate(edited_texts(8))), "doc_id long, text string")
     kept = corpus_pipeline.deduplicated(spark, docs, "")
