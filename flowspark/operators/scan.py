@@ -22,7 +22,7 @@ from ..session import stored
 #: Stands for null inside a task; no time, count or number of bytes comes near it.
 _NULL = np.iinfo(np.int64).min
 #: What a fold keeps of the rows so far; "before" leaves out the row itself.
-FOLDS = ("sum", "max", "min", "max_before", "lag", "next")
+FOLDS = ("sum", "max", "min", "max_before", "lag", "next", "last")
 
 
 def _differs(column: pa.Array) -> np.ndarray:
@@ -32,11 +32,11 @@ def _differs(column: pa.Array) -> np.ndarray:
     return ~(same | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False)))
 
 
-def _joined(op: str, a: int | None, b: int | None) -> int | None:
+def _joined(op: str, a, b):
     """The value of two stretches of rows, one after the other."""
     if a is None or b is None:
         return a if b is None else b
-    return a + b if op == "sum" else min(a, b) if op == "min" else max(a, b)
+    return a + b if op == "sum" else min(a, b) if op == "min" else b if op == "last" else max(a, b)
 
 
 class _Stretch:
@@ -45,9 +45,19 @@ class _Stretch:
     def __init__(self, keys: int, folds: Sequence[tuple[str, int]]):
         self.keys, self.folds = keys, folds
         self.key: list | None = None                      # of the last row scanned
-        self.state: list[int] = []
+        self.state: list = []
         self.segments = 0
 
+    @staticmethod
+    def _last(column: pa.Array, segment: np.ndarray, before: pa.Scalar | None) -> pa.Array:
+        """The last known value up to each row of its segment; ``before`` goes on in segment 0."""
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        at = np.maximum.accumulate(np.where(known, np.arange(len(column)), -1))
+        lost = (at < 0) | (segment[np.maximum(at, 0)] != segment)
+        held = pa.concat_arrays([column, pa.array([None if before is None else before.as_py()], column.type)])
+        at[lost] = len(column)
+        return held.take(pa.array(at, mask=lost & (segment > 0) if before is not None else lost))
+
     def rows(self, batch: pa.RecordBatch, behind: pa.RecordBatch | None) -> list[pa.Array]:
         """The folds of the rows of batch and whether they belong to the part's first key;
         ``behind`` is the row that follows them."""
@@ -63,6 +73,11 @@ class _Stretch:
         begins = np.flatnonzero(new)
         out, state = [], []
         for at, (op, column) in enumerate(self.folds):
+            if op == "last":
+                found = self._last(batch.column(column), segment, None if new[0] else self.state[at])
+                state.append(found[n - 1])
+                out.append(found)
+                continue
             values = batch.column(column).cast(pa.int64())
             known = values.is_valid().to_numpy(zero_copy_only=False)
             values = values.fill_null(_NULL).to_numpy()
@@ -162,17 +177,18 @@ def _local(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dict
             held = batch
         if held is not None:
             yield close(held, None)
-    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*names).dtypes] + [f"`{n}` bigint" for n in folds]
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{n}` {types[n]}" for n in names] + [f"`{n}` {types[c] if op == 'last' else 'bigint'}" for n, (op, c) in folds.items()]
                        + ["head boolean, is_first boolean, is_last boolean, part int"])
     return stored(ranged.mapInArrow(run, schema), "scan")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dict[str, tuple[str, str]]) -> DataFrame:
-    """df with a column for each fold: name -> (one of FOLDS, an integer column).
+    """df with a column for each fold: name -> (one of FOLDS, an integer column; "last" takes any type).
 
-    Values follow the rows of a key in the given order: "sum", "max" and "min" up to and with the row,
-    "max_before" without it, "lag" and "next" of the neighbouring rows; nulls count for nothing, and
-    what has no row is null.  Rows that tie in the order come in any order, side by side."""
+    Values follow the rows of a key in the given order: "sum", "max", "min" and "last" (the last value
+    that is not null) up to and with the row, "max_before" without it, "lag" and "next" of the
+    neighbouring rows; nulls count for nothing, and what has no row is null.  Rows that tie in the order come in any order, side by side."""
     keys = list(keys)
     unknown = [op for op, _ in folds.values() if op not in FOLDS]
     if unknown:
@@ -180,7 +196,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dic
     local = _local(df, keys, order, folds)
     needed = dict.fromkeys([*keys, *[c for _, c in folds.values()], *folds, "part", "head", "is_first", "is_last"])
     edges = local.where("is_first OR is_last").select(*needed).collect()          # two rows a part
-    schema = ", ".join(["part int"] + [f"_{name} bigint" for name in folds])
+    types = dict(df.dtypes)
+    schema = ", ".join(["part int"] + [f"_{name} {types[c] if op == 'last' else 'bigint'}" for name, (op, c) in folds.items()])
     added = df.sparkSession.createDataFrame(_ends(edges, keys, folds), schema)
     rows = local.join(F.broadcast(added), "part", "left")                          # one row a part
     out = []
@@ -192,6 +209,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dic
             value = F.when(F.col("head"), F.greatest(here, there)).otherwise(here)
         elif op == "min":
             value = F.when(F.col("head"), F.least(here, there)).otherwise(here)
+        elif op == "last":
+            value = F.when(F.col("head"), F.coalesce(here, there)).otherwise(here)
         elif op == "lag":
             value = F.when(F.col("is_first"), F.coalesce(here, there)).otherwise(here)
         else:

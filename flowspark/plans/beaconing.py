@@ -14,6 +14,11 @@ from ..schema import as_alerts
 PAIR = ["src_ip", "dst_ip"]
 
 
+#: tile_summaries() as a table.
+TILE = ("src_ip string, dst_ip string, tile bigint, head_us bigint, last_us bigint, inner_n bigint, inner_first_us bigint, "
+        "inner_last_us bigint, steps bigint, step_mean double, step_var double, step_min bigint, step_max bigint")
+
+
 def tile_summaries(units: DataFrame, p: Beaconing) -> DataFrame:
     """Per (pair, tile): what later steps need to know about the connections inside it.
 
@@ -46,11 +51,12 @@ def tile_summaries(units: DataFrame, p: Beaconing) -> DataFrame:
 def interval_stats(tiles: DataFrame, p: Beaconing) -> DataFrame:
     """Per pair: connections and mean, population deviation, least and greatest interval (s).
 
+    ``tiles`` are summaries of stretches of time that follow each other; a tile may come in several.
     Spread is summed around the exact overall mean, within tiles plus between tiles, so nothing
     cancels and no pair's rows are gathered: a pair contributes one row per tile.
     """
     gap = us(p.session_gap_s)
-    w = Window.partitionBy(*PAIR).orderBy("tile")
+    w = Window.partitionBy(*PAIR).orderBy("head_us")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*PAIR)
     tiles = tiles.withColumn("_prior", F.lag("last_us").over(w))
@@ -83,11 +89,15 @@ def interval_stats(tiles: DataFrame, p: Beaconing) -> DataFrame:
 
 
 def beacons(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    rows = only_busy(flows.select(*PAIR, "dst_port", "ts_us"), PAIR, s.beaconing.connections_over)
+    return beacons_from(tile_summaries(to_units(rows, PAIR), s.beaconing), rows.select(*PAIR, "dst_port"), s)
+
+
+def beacons_from(tiles: DataFrame, ports: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Beacons by the summaries of all stretches of time and the ports met in them (repeats allowed)."""
     p = s.beaconing
-    rows = only_busy(flows.select(*PAIR, "dst_port", "ts_us"), PAIR, p.connections_over)
-    found = (interval_stats(tile_summaries(to_units(rows, PAIR), p), p)
-             .where((F.col("mean_s") >= p.mean_from_s) & (F.col("std_s") < p.std_below_s)))
-    ports = rows.groupBy(*PAIR, "dst_port").agg(F.lit(1).alias("_one"))
+    found = interval_stats(tiles, p).where((F.col("mean_s") >= p.mean_from_s) & (F.col("std_s") < p.std_below_s))
+    ports = ports.groupBy(*PAIR, "dst_port").agg(F.lit(1).alias("_one"))
     shown = (top_per_group(ports, PAIR, [F.asc("dst_port")], s.port_limit)
              .groupBy(*PAIR).agg(F.sort_array(F.collect_list("dst_port")).alias("dst_ports")))
     high = (F.col("std_s") < p.high_std_below_s) & (F.col("connections") >= p.high_from_connections)
@@ -95,8 +105,16 @@ def beacons(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def beacon_alerts(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return _alerts(beacons(flows, s), s)
+
+
+def beacon_alerts_from(tiles: DataFrame, ports: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    return _alerts(beacons_from(tiles, ports, s), s)
+
+
+def _alerts(table: DataFrame, s: Settings) -> DataFrame:
     p = s.beaconing
-    return as_alerts(beacons(flows, s).select(
+    return as_alerts(table.select(
         F.lit("BEACONING").alias("alert_type"), "severity",
         F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("dest_ip"),
         F.format_string("Possible C2 beaconing: %d connections every %.1fs (std %.2fs, threshold "

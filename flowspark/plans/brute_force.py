@@ -22,16 +22,21 @@ def brute_force_rule(s: Settings = DEFAULT) -> SlidingRule:
     p, window = s.brute_force, us(s.brute_force.window_s)
 
     def summarise(units: DataFrame, found: DataFrame) -> DataFrame:
+        return rated(rows_of_incidents(units, found, SERVICE, window, s.tile_windows)
+                     .groupBy(*SERVICE, "start_us", "end_us", "peak").agg(F.sum("n").alias("connections")))
+
+    def rated(table: DataFrame) -> DataFrame:
         high = F.col("peak") >= p.high_from_peak
-        return (rows_of_incidents(units, found, SERVICE, window, s.tile_windows)
-                .groupBy(*SERVICE, "start_us", "end_us", "peak").agg(F.sum("n").alias("connections"))
-                .withColumn("severity", F.when(high, "HIGH").otherwise("MEDIUM")))
+        return table.withColumn("severity", F.when(high, "HIGH").otherwise("MEDIUM"))
+
+    def typed(found: DataFrame) -> DataFrame:
+        return rated(found.select(*SERVICE, "start_us", "end_us", "peak", F.col("events").alias("connections")))
 
     return SlidingRule(
         "brute_force", tuple(SERVICE), window, p.connections_over, None,
         select=lambda flows: watched(flows, p.ports).select(*SERVICE, "ts_us"),
         units=lambda rows: to_units(rows, SERVICE),
-        summarise=summarise, alerts=lambda table: _alerts(table, s), tile_windows=s.tile_windows)
+        summarise=summarise, alerts=lambda table: _alerts(table, s), typed=typed, tile_windows=s.tile_windows)
 
 
 def brute_force_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:

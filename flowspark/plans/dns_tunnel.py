@@ -23,15 +23,22 @@ def dns_rule(s: Settings = DEFAULT) -> SlidingRule:
                  .groupBy(*incident, "dst_ip").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
         totals = cells.groupBy(*incident).agg(F.sum("n").alias("queries"), F.sum("bytes").alias("total_bytes"))
         resolvers = first_values(cells, incident, "dst_ip", s.list_limit, "resolvers")
-        return (totals.join(resolvers, incident)
-                .withColumn("avg_query_bytes", F.round(F.col("total_bytes") / F.col("queries"), 1))
+        return rated(totals.join(resolvers, incident))
+
+    def rated(table: DataFrame) -> DataFrame:
+        return (table.withColumn("avg_query_bytes", F.round(F.col("total_bytes") / F.col("queries"), 1))
                 .withColumn("severity", F.when(F.col("peak") > p.high_over_peak, "HIGH").otherwise("MEDIUM")))
 
+    def typed(found: DataFrame) -> DataFrame:
+        return rated(found.select("src_ip", "start_us", "end_us", "peak", F.col("events").alias("queries"), F.col("bytes").alias("total_bytes"),
+                                  F.col("cells").alias("resolvers_count"), F.col("first").alias("resolvers")))
+
     return SlidingRule(
         "dns", ("src_ip",), window, p.queries_over, None,
         select=lambda flows: watched(flows, p.ports).select("src_ip", "dst_ip", "ts_us", "packet_length"),
         units=lambda rows: to_units(rows, ["src_ip", "dst_ip"], [F.sum("packet_length").alias("bytes")]),
-        summarise=summarise, alerts=lambda table: _alerts(table, s), tile_windows=s.tile_windows)
+        summarise=summarise, alerts=lambda table: _alerts(table, s), typed=typed, cell="dst_ip",
+        limit=s.list_limit, tile_windows=s.tile_windows)
 
 
 def dns_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:

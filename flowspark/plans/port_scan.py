@@ -20,19 +20,26 @@ def port_scan_rule(s: Settings = DEFAULT) -> SlidingRule:
         incident = PAIR + ["start_us", "end_us", "peak"]
         cells = (rows_of_incidents(units, found, PAIR, window, s.tile_windows)
                  .groupBy(*incident, "dst_port").agg(F.sum("n").alias("n")))
-        high = F.col("unique_ports") >= p.high_from_ports
-        return cells.groupBy(*incident).agg(
+        return rated(cells.groupBy(*incident).agg(
             F.count(F.lit(1)).alias("unique_ports"),
             F.sum("n").alias("events"),
             # At most 65,536 ports exist, so this list is bounded.
-            F.slice(F.sort_array(F.collect_list("dst_port")), 1, s.list_limit).alias("sample_ports"),
-        ).withColumn("severity", F.when(high, "HIGH").otherwise("MEDIUM"))
+            F.slice(F.sort_array(F.collect_list("dst_port")), 1, s.list_limit).alias("sample_ports")))
+
+    def rated(table: DataFrame) -> DataFrame:
+        high = F.col("unique_ports") >= p.high_from_ports
+        return table.withColumn("severity", F.when(high, "HIGH").otherwise("MEDIUM"))
+
+    def typed(found: DataFrame) -> DataFrame:
+        return rated(found.select(*PAIR, "start_us", "end_us", "peak", F.col("cells").alias("unique_ports"), "events",
+                                  F.col("first").cast("array<int>").alias("sample_ports")))
 
     return SlidingRule(
         "port_scan", tuple(PAIR), window, p.ports_over, "dst_port",
         select=lambda flows: flows.select(*PAIR, "dst_port", "ts_us"),
         units=lambda rows: to_units(rows, PAIR + ["dst_port"]),
-        summarise=summarise, alerts=lambda table: _alerts(table, s), tile_windows=s.tile_windows)
+        summarise=summarise, alerts=lambda table: _alerts(table, s), typed=typed, cell="dst_port", numeric=True,
+        limit=s.list_limit, tile_windows=s.tile_windows)
 
 
 def port_scan_incidents(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -23,6 +23,10 @@ class SlidingRule:
     units: Callable[[DataFrame], DataFrame]              # those rows, pre-counted per instant
     summarise: Callable[[DataFrame, DataFrame], DataFrame]   # units, incidents -> typed incident table
     alerts: Callable[[DataFrame], DataFrame]             # that table -> alert rows
+    typed: Callable[[DataFrame], DataFrame]              # keys, times, peak and counts of incidents -> that table
+    cell: str | None = None                              # what an incident lists: a column of ``select``
+    numeric: bool = False                                # its cells are numbers
+    limit: int = 20                                      # and how many are listed
     tile_windows: int = 16
 
     def found(self, units: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 Each micro-batch advances a watermark (greatest event time seen, minus a delay).  Rows become
 final when the watermark passes them; a row later than the watermark goes to the table ``late``.
 
-* Sliding rules evaluate the same tiled plans as batch over the final rows, given two windows of
-  earlier rows as context.  Violations join the open incidents; an incident is reported once the
-  watermark is two windows past its end, when nothing can extend it any more.
-* Whole-capture rules append mergeable partial sums per batch and are combined when read.
+* Sliding rules run as keyed state (``keyed``) over the final rows, which a second streaming query
+  of each rule reads as they are written.
+* Whole-capture rules append mergeable partial results per batch (sums, and moments of the time
+  between connections) and are combined when read: no result reads the flows again.
 * The forest trains once on the first ``warmup_rows`` final rows, in time order, and is stored;
   all rows are scored against it.
 """
@@ -20,23 +20,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, Settings, us
 from ..operators.containment import endpoints, listed, static_entries
-from ..operators.tiles import cluster_intervals, trailing_metric
-from ..plans import alerts as algebra, blocklist, forest, off_hours
-from ..plans.beaconing import beacon_alerts
+from ..operators.incidents import to_units
+from ..plans import alerts as algebra, beaconing, blocklist, forest, off_hours
 from ..plans.brute_force import brute_force_rule
 from ..plans.dns_tunnel import dns_rule
 from ..plans.engine import Detection
 from ..plans.features import flow_features
 from ..plans.port_scan import port_scan_rule
 from ..plans.sliding import SlidingRule
-from ..schema import ALERT, FLOW
+from ..schema import FLOW
+from .keyed import FOREVER, NEVER, SlidingStream
 from .state import StateTable
 
 CELL = "n bigint, bytes bigint, first_us bigint, last_us bigint"
 PROGRESS = ("watermark_us bigint, greatest_us bigint, rows bigint, late bigint, final_rows bigint, "
-            "has_model boolean, recent array<struct<batch: bigint, upto_us: bigint>>")
-FOREVER = 1 << 62
-NEVER = -(1 << 62)
+            "has_model boolean")
 SLIDING = ("port_scan", "brute_force", "dns")
 EVERY = (*SLIDING, "blocklist", "beaconing", "time_of_day")
 
@@ -51,19 +49,18 @@ class StreamDetector:
         self.names = tuple(names)
         makers = {"port_scan": port_scan_rule, "brute_force": brute_force_rule, "dns": dns_rule}
         self.rules: list[SlidingRule] = [makers[n](settings) for n in SLIDING if n in self.names]
-        self.context_us = max([2 * r.window_us for r in self.rules] + [2 * us(settings.forest.window_s)])
+        self.context_us = 2 * us(settings.forest.window_s) if ml else 0
 
         def table(name: str, schema) -> StateTable:
             return StateTable(spark, folder, name, schema)
 
-        types = {f.name: f.dataType.simpleString() for f in FLOW.fields}
         self.progress = table("progress", PROGRESS)
         self.flows = table("flows", FLOW)                  # final rows, once each
         self.late = table("late", FLOW)                    # rows that came after the watermark
         self.carry = table("carry", FLOW)                  # rows still needed as context or not final
-        self.open = {r.name: table(f"open_{r.name}", ", ".join(
-            [f"{k} {types[k]}" for k in r.keys] + ["start_us bigint, end_us bigint, peak bigint"])) for r in self.rules}
-        self.alerts = table("alerts", ALERT)
+        self.sliding = [SlidingStream(spark, folder, r, 0.0) for r in self.rules]
+        self.beacon_tiles = table("beacon_tiles", beaconing.TILE)
+        self.beacon_ports = table("beacon_ports", "src_ip string, dst_ip string, dst_port int")
         self.off_cells = table("off_hours", f"src_ip string, dst_ip string, dst_port int, {CELL}")
         self.listed_cells = table("listed", "bad_ip string, outbound boolean, static_hit boolean, source string, "
                                             f"peer_ip string, dst_port int, {CELL}")
@@ -86,8 +83,7 @@ class StreamDetector:
         rows = self.progress.read(batch).collect()         # one row
         if rows:
             return rows[0].asDict()
-        return {"watermark_us": NEVER, "greatest_us": NEVER, "rows": 0, "late": 0, "final_rows": 0, "has_model": False,
-                "recent": []}
+        return {"watermark_us": NEVER, "greatest_us": NEVER, "rows": 0, "late": 0, "final_rows": 0, "has_model": False}
 
     def process(self, batch_rows: DataFrame, batch: int) -> None:
         """One micro-batch: idempotent given the state of the batch before."""
@@ -125,16 +121,14 @@ class StreamDetector:
                  rows: int, late: int) -> None:
         known = self.carry.write(pending.where(F.col("ts_us") > max(mark - self.context_us, NEVER)), batch)
         is_final = (F.col("ts_us") > mark) & (F.col("ts_us") <= new_mark)
-        final = self.flows.write(known.where(is_final), batch)
+        # Written once, as the keyed queries take every new file for new rows.
+        final = self.flows.write_once(known.where(is_final), batch)
         final_rows = before["final_rows"] + final.count()
-
-        # Batches of final rows that an open incident may still need, with the time each reaches.
-        recent = [(r["batch"], r["upto_us"]) for r in before["recent"]] + [(batch, new_mark)]
-        steps = [self._sliding(rule, known, batch, mark, new_mark, recent) for rule in self.rules]
-        if steps:
-            self.alerts.write(algebra.union_alerts([raised for raised, _ in steps]), batch)
-        needed = min([new_mark - self.context_us] + [start for _, start in steps if start is not None])
-        recent = [r for r in recent if r[1] >= needed]
+        if "beaconing" in self.names:
+            # The rows of a batch are a stretch of time of each pair, so its summaries follow those before.
+            units = to_units(final, beaconing.PAIR)
+            self.beacon_tiles.write(beaconing.tile_summaries(units, self.s.beaconing), batch)
+            self.beacon_ports.write(final.select(*beaconing.PAIR, "dst_port").distinct(), batch)
         if "time_of_day" in self.names:
             self.off_cells.write(off_hours.off_hours_cells(final, self.s.off_hours), batch)
         if "blocklist" in self.names:
@@ -142,32 +136,14 @@ class StreamDetector:
             self.listed_cells.write(blocklist.listed_cells(final, hosts), batch)
         has_model = self._score(known.where(F.col("ts_us") <= new_mark), batch, before, mark, final_rows, new_mark == FOREVER)
         self.progress.write(self.spark.createDataFrame(
-            [(new_mark, greatest, before["rows"] + rows, before["late"] + late, final_rows, has_model, recent)],
+            [(new_mark, greatest, before["rows"] + rows, before["late"] + late, final_rows, has_model)],
             PROGRESS), batch)
 
-    def _sliding(self, rule: SlidingRule, known: DataFrame, batch: int, mark: int, new_mark: int,
-                 recent: list[tuple[int, int]]) -> tuple[DataFrame, int | None]:
-        """Advance one rule: new violations meet the open incidents; what can no longer grow is
-        reported.  Also returns the start of the oldest incident left open."""
-        units = rule.metric_units(rule.select(known.where(F.col("ts_us") <= new_mark)))
-        hits = trailing_metric(units, rule.keys, rule.window_us, rule.over, rule.value)
-        spans = hits.where(F.col("ts_us") > mark).select(
-            *rule.keys, F.col("left_us").alias("start_us"), F.col("ts_us").alias("end_us"), F.col("metric").alias("peak"))
-        state = self.open[rule.name]
-        merged = cluster_intervals(
-            spans.unionByName(state.read(batch - 1)), rule.keys, "start_us", "end_us", rule.window_us, {"peak": F.max("peak")})
-        merged = StateTable(self.spark, self.folder, f"merged_{rule.name}", state.schema).write(merged, batch)
-        closed = F.col("end_us") + 2 * rule.window_us < new_mark
-        oldest = state.write(merged.where(~closed), batch).agg(F.min("start_us")).first()[0]
-        ended = merged.where(closed)
-        bounds = ended.agg(F.min("start_us").alias("a"), F.max("end_us").alias("b")).first()
-        if bounds["a"] is None:
-            return self.spark.createDataFrame([], ALERT), oldest
-        # Final rows of the reported keys and times, from the batches that can hold them.
-        history = self.flows.read_batches([b for b, upto in recent if upto >= bounds["a"]]).where(
-            F.col("ts_us").between(bounds["a"], bounds["b"]))
-        rows = rule.select(history).join(ended.select(*rule.keys).distinct(), list(rule.keys), "left_semi")
-        return rule.alerts(rule.summarise(rule.units(rows), ended)), oldest
+    def slide(self) -> None:
+        """Take the final rows written so far through the keyed query of every sliding rule."""
+        final = self.spark.readStream.schema(FLOW).parquet(f"{self.flows.path}/batch=*")
+        for query in [one.start(final) for one in self.sliding]:
+            query.awaitTermination()
 
     def _score(self, known: DataFrame, batch: int, before: dict, mark: int, final_rows: int, last: bool) -> bool:
         path = f"{self.folder}/model"
@@ -195,13 +171,14 @@ class StreamDetector:
 
     def result(self) -> Detection:
         """Alerts so far, combined as in a batch run."""
-        parts = [self.alerts.read_all()]
+        self.slide()
+        parts = [one.rule.alerts(one.incidents()) for one in self.sliding]
         if "blocklist" in self.names:
             parts.append(blocklist.blocklist_alerts_from(self.listed_cells.read_all(), self.s))
         if "time_of_day" in self.names:
             parts.append(off_hours.off_hours_alerts_from(self.off_cells.read_all(), self.s))
         if "beaconing" in self.names:
-            parts.append(beacon_alerts(self.flows.read_all(), self.s))
+            parts.append(beaconing.beacon_alerts_from(self.beacon_tiles.read_all(), self.beacon_ports.read_all(), self.s))
         rules = algebra.merge_duplicates(algebra.union_alerts(parts), self.s).drop("merged")
         out = Detection(rules, rules)
         if self.ml and self.last(self.latest())["has_model"]:

@@ -29,6 +29,13 @@ class StateTable:
         df.select([F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(target)
         return self.spark.read.schema(self.schema).parquet(target)
 
+    def write_once(self, df: DataFrame, batch: int) -> DataFrame:
+        """write(), unless this batch is stored already: for tables whose files another stream follows."""
+        target = f"{self.path}/batch={batch}"
+        if self._exists(f"{target}/_SUCCESS"):
+            return self.spark.read.schema(self.schema).parquet(target)
+        return self.write(df, batch)
+
     def read(self, batch: int) -> DataFrame:
         """The rows of one batch (none when there was no such batch)."""
         target = f"{self.path}/batch={batch}"
@@ -36,12 +43,6 @@ class StateTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(target)
 
-    def read_batches(self, batches: list[int]) -> DataFrame:
-        """The rows of the named batches, each of which was written."""
-        if not batches:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={b}" for b in batches])
-
     def read_all(self, with_batch: bool = False) -> DataFrame:
         """The rows of every batch."""
         if not self._exists(self.path):

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from flowspark.operators import scan
 from flowspark.operators.scan import running
 
-FOLDS = {"s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v"), "top": ("max_before", "v"), "was": ("lag", "v"), "will": ("next", "v")}
+FOLDS = {"s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v"), "top": ("max_before", "v"), "was": ("lag", "v"), "will": ("next", "v"),
+         "name": ("last", "w")}
 
 
 def sequential(rows):
-    """rows (key, other, at, v) sorted by key and time -> the folds of each."""
+    """rows (key, other, at, v, w) sorted by key and time -> the folds of each."""
     out, by = [], {}
     for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
         by.setdefault(row[:2], []).append(row)
@@ -22,7 +23,8 @@ def sequential(rows):
             seen = [r[3] for r in group[:i + 1] if r[3] is not None]
             past = [r[3] for r in group[:i] if r[3] is not None]
             out.append((*row, sum(seen), max(seen, default=None), min(seen, default=None), max(past, default=None),
-                        group[i - 1][3] if i else None, group[i + 1][3] if i + 1 < len(group) else None))
+                        group[i - 1][3] if i else None, group[i + 1][3] if i + 1 < len(group) else None,
+                        next((r[4] for r in group[i::-1] if r[4] is not None), None)))
     return sorted(out, key=repr)
 
 
@@ -32,13 +34,13 @@ def test_folds_as_in_one_pass(spark, hot, records):
     """A key of many parts, keys inside a part, null keys and values, batches of three rows."""
     draw = random.Random(7)
     rows = [("hot" if draw.random() < hot else draw.choice(["a", "b", None, "zz", f"k{draw.randrange(40)}"]), draw.randrange(2) if hot < 1 else 0,
-             at, draw.choice([None, draw.randrange(-50, 50)])) for at in draw.sample(range(10_000), 400)]
+             at, draw.choice([None, draw.randrange(-50, 50)]), draw.choice([None, None, None, f"w{at}"])) for at in draw.sample(range(10_000), 400)]
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
-        df = spark.createDataFrame(rows, "key string, other int, at long, v long").repartition(5)
+        df = spark.createDataFrame(rows, "key string, other int, at long, v long, w string").repartition(5)
         got = running(df, ["key", "other"], ["at"], FOLDS)
         assert got.columns == [*df.columns, *FOLDS]
         assert sorted(map(tuple, got.collect()), key=repr) == sequential(rows)

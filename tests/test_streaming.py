@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 from dataclasses import replace
 
+import numpy as np
 from samples import beacon, benign, burst, dns, flow, kinds, night, scan
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from flowspark.plans import engine
 from flowspark.schema import FLOW
 from flowspark.sources.logs import layout_of, text_lines
 from flowspark.streaming.detector import StreamDetector
+from flowspark.streaming.keyed import FOREVER, KeyState
 from flowspark.streaming.live import live_traffic
 from flowspark.sources.profiles import NATIVE_HEADER, resolve_layout
 from flowspark.streaming.logs import detect_logs, parse_batch
@@ -44,13 +47,61 @@ def test_file_stream_equals_batch(spark, flows, folder):
     detector.start(stream, availableNow="true").awaitTermination()
     steps = sorted(detector.counters().collect(), key=lambda r: r.batch)
     assert len(steps) == 5 and steps[3].final_rows > 0.7 * len(ordered)      # work is done in every batch, not at the end
-    assert detector.alerts.read_all().count() > 0
+    assert detector.result().rules.count() > 0
     result = detector.finish()
     assert kinds(result.rules) == kinds(engine.rule_alerts(rows, FEW_TREES))
+    # What a key may hold: final rows of the last window, those not final yet, and nothing of keys that are over.
+    for one in detector.sliding:
+        states = one.states().select("value.*").collect()
+        assert len(states) < len({(r.src_ip, r.dst_ip, r.dst_port) for r in ordered})
+        for r in states:
+            held = KeyState(one.rule.window_us, one.rule.over, False, 1).load(r.mark_us, r.body)
+            past = held.ts[held.ts <= held.mark_us]
+            assert held.open or not len(past) or past[0] > held.mark_us - one.rule.window_us
     assert result.ml is not None and result.ml.count() > 0
     assert detector.counters().agg({"late": "max"}).first()[0] == 0
 
 
+def walked(rows, window, over, distinct):
+    """Incidents of one key with the sums of their rows, by walking whole instants in order."""
+    out = []
+    for t in sorted({r[0] for r in rows}):
+        inside = [r for r in rows if t - window <= r[0] <= t]
+        size = len({r[1] for r in inside}) if distinct else sum(r[2] for r in inside)
+        if size > over:
+            left = min(r[0] for r in inside)
+            if out and left <= out[-1][1] + window:
+                out[-1][1:] = [t, max(out[-1][2], size)]
+            else:
+                out.append([left, t, size])
+    full = []
+    for a, b, peak in out:
+        mine = [r for r in rows if a <= r[0] <= b]
+        full.append((a, b, peak, sum(r[2] for r in mine), sum(r[3] for r in mine), len({r[1] for r in mine}), sorted({r[1] for r in mine}, key=int)[:2]))
+    return full
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_key_state_in_steps_equals_one_walk(distinct):
+    """Rows in any order inside a step, marks between them, state stored and loaded after every step."""
+    draw, some = random.Random(5), 0
+    for _ in range(150):
+        rows = [(draw.randint(0, 120), str(draw.randint(1, 6)), draw.randint(1, 2), draw.randint(0, 9)) for _ in range(draw.randint(1, 60))]
+        cuts = sorted(draw.sample(range(0, 120), 4))
+        held, got, mark = KeyState(8, 3, distinct, 2, True), [], -1
+        for upto in [*cuts, FOREVER]:
+            part = [r for r in rows if mark < r[0] <= upto]
+            held.add(np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], object), *(np.array([r[i] for r in part], np.int64) for i in (2, 3)))
+            got += held.advance(upto)
+            assert not len(held.ts) or held.ts[-1] - held.ts[0] <= 24
+            held = KeyState(8, 3, distinct, 2, True).load(held.mark_us, held.body())
+            mark = upto
+        want = walked(rows, 8, 3, distinct)
+        some += len(want)
+        assert got == want and held.open is None and not len(held.ts)
+    assert some > 100
+
+
 def test_incidents_across_batches_and_late_rows(spark, flows, folder):
     detector = StreamDetector(spark, folder, FEW_TREES, delay_s=1, names=["port_scan"], ml=False)
     attack = scan(20, 4, 100)
@@ -58,7 +109,7 @@ def test_incidents_across_batches_and_late_rows(spark, flows, folder):
     detector.process(flows(attack[12:]), 1)
     detector.process(flows(attack[12:]), 1)                          # a retried batch changes nothing
     detector.process(flows([flow(400)], [flow(1, "203.0.113.9")]), 2)   # one row far too late
-    assert kinds(detector.alerts.read_all()) == [("PORT_SCAN", "MEDIUM", "203.0.113.9", "192.168.1.200")]
+    assert kinds(detector.result().rules) == [("PORT_SCAN", "MEDIUM", "203.0.113.9", "192.168.1.200")]
     result = detector.finish()
     (only,) = result.rules.collect()
     assert "20 unique ports" in only.description
