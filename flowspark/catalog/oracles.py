@@ -109,7 +109,8 @@ steps AS (SELECT src_ip, dst_ip, (ts_us - LAG(ts_us) OVER (PARTITION BY src_ip,
 stats AS (SELECT src_ip, dst_ip, COUNT(*) AS connections, avg(step) AS mean_s, stddev_pop(step) AS std_s,
                  min(step) AS min_s, max(step) AS max_s FROM steps GROUP BY src_ip, dst_ip HAVING COUNT(*) > 10),
 seen AS (SELECT src_ip, dst_ip, MIN(ts_us) AS first_us, MAX(ts_us) AS last_us,
-                array_to_string(list_slice(list_sort(list(DISTINCT dst_port)), 1, 10), ',') AS dst_ports
+                array_to_string(list_slice(list_sort(list(DISTINCT dst_port)), 1, 10), ',') AS dst_ports,
+                '[' || array_to_string(list_slice(list_sort(list(DISTINCT dst_port)), 1, 5), ', ') || ']' AS shown_ports
          FROM flows GROUP BY src_ip, dst_ip),
 beacons AS (SELECT *, CASE WHEN std_s < 120000 AND connections >= 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
             FROM stats JOIN seen USING (src_ip, dst_ip) WHERE mean_s >= 5 AND std_s < 155000)"""
@@ -349,9 +350,6 @@ ORACLES: dict[str, str] = {
     "beacon_intervals": f"""WITH {BEACON_CTES} SELECT src_ip, dst_ip, connections, first_us, last_us, round(mean_s, 2) AS mean_s,
         round(std_s, 2) AS std_s, round(min_s, 2) AS min_s, round(max_s, 2) AS max_s FROM stats JOIN seen USING (src_ip, dst_ip)""",
     "beacons": f"WITH {BEACON_CTES} SELECT src_ip, dst_ip, connections, severity, first_us, last_us, dst_ports FROM beacons",
-    "beacon_alerts": "SELECT * EXCLUDE (description) FROM (" + alert_select(
-        "BEACONING", "C2 beaconing", "src_ip", "dst_ip", "first_us", "last_us", "''",
-        f"(WITH {BEACON_CTES} SELECT * FROM beacons)") + ")",
     "off_hours_sources": OFF_SQL,
     "off_hours_wrapped": off_sql("(hour(ts) < 20 AND hour(ts) >= 4)", 40, 50),
     "off_hours_alerts": OFF_ALERT,
@@ -486,13 +484,18 @@ ORACLES: dict[str, str] = {
 }
 
 BRUTE_EVENT_ALERT = alert_select(
-    "BRUTE_FORCE", "Brute force", "src_ip", "dst_ip", "start_us", "end_us", "''",
+    "BRUTE_FORCE", "Brute force", "src_ip", "dst_ip", "start_us", "end_us",
+    f"'Brute force on port ' || dst_port || ': ' || connections || ' connections in ' || {SECS} || 's (peak ' || peak "
+    "|| ' in 432000s, threshold >1)'",
     f"({brute_sql(EVENT_FLOWS, 120 * HOUR_US, 1, 3, 'dst_port < 50')})")
-BEACON_ALERT = alert_select("BEACONING", "C2 beaconing", "src_ip", "dst_ip", "first_us", "last_us", "''",
+BEACON_ALERT = alert_select("BEACONING", "C2 beaconing", "src_ip", "dst_ip", "first_us", "last_us",
+                            "'Possible C2 beaconing: ' || connections || ' connections every ' || printf('%.1f', mean_s) || 's (std ' || "
+                            "printf('%.2f', std_s) || 's, threshold <155000s), dst ports ' || shown_ports",
                             f"(WITH {BEACON_CTES} SELECT * FROM beacons)")
-ORACLES["rule_alerts_all"] = " UNION ALL ".join(
-    f"SELECT * EXCLUDE (description) FROM ({q})" for q in (SCAN_ALERT, BRUTE_EVENT_ALERT, DNS_ALERT, OFF_ALERT, LIST_ALERT, BEACON_ALERT))
-ORACLES["stream_rule_alerts"] = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (SCAN_ALERT, DNS_ALERT, OFF_ALERT))
+ORACLES["beacon_alerts"] = BEACON_ALERT
+#: All six rules with feeds; the stream gives what the batch gives.
+ORACLES["rule_alerts_all"] = ORACLES["stream_rule_alerts"] = " UNION ALL ".join(
+    f"SELECT * FROM ({q})" for q in (SCAN_ALERT, BRUTE_EVENT_ALERT, DNS_ALERT, OFF_ALERT, LIST_ALERT, BEACON_ALERT))
 
 #: The five time slices of the streamed events, the slice sent again, and the watermark after each batch.
 SLICED = f"""{EVENT_FLOWS},

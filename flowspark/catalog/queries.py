@@ -17,7 +17,7 @@ from ..sources import capture, feeds as feed_source, logs
 from ..sources.profiles import NATIVE_HEADER, PROFILES, custom_profile, resolve_layout
 from ..sources.tables import events_flows, events_to_flows, lineitem_flows
 from ..streaming import live
-from ..streaming.detector import StreamDetector
+from ..streaming.detector import EVERY, StreamDetector
 from ..config import us
 from . import inputs
 from .inputs import EVENTS, LINEITEM
@@ -150,7 +150,7 @@ def _(spark, d):
 
 @query("beacon_alerts")
 def _(spark, d):
-    return plain_alerts(beaconing.beacon_alerts(events_flows(spark, d), EVENTS)).drop("description")
+    return plain_alerts(beaconing.beacon_alerts(events_flows(spark, d), EVENTS))
 
 
 def _off(df: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def _(spark, d):
 @query("rule_alerts_all")
 def _(spark, d):
     """All six rules, feeds included."""
-    return plain_alerts(engine.rule_alerts(events_flows(spark, d), EVENTS, _feed_entries(spark, d))).drop("description")
+    return plain_alerts(engine.rule_alerts(events_flows(spark, d), EVENTS, _feed_entries(spark, d)))
 
 
 # -- alert algebra ---------------------------------------------------------------------------
@@ -587,11 +587,17 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark, d):
     """Daily counts per protocol kept by a streaming aggregation."""
     import uuid
-    name = f"live_{uuid.uuid4().hex}"
-    live.live_traffic(_event_stream(spark, d), "1 day", "1 hour").writeStream.outputMode("complete").format(
-        "memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+
+    def keep(counts: DataFrame, batch: int) -> None:
+        """The counts that changed, stored by batch; a retry overwrites its own."""
+        counts.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/counts/{batch}")
+    counts = live.live_traffic(_event_stream(spark, d), "1 day", "1 hour")
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/query").trigger(
         availableNow=True).start().awaitTermination()
-    return us_times(spark.table(name).drop("window_end"))
+    stored = spark.read.parquet(f"{folder}/counts/*")
+    return us_times(stored.groupBy("window_start", "protocol").agg(
+        F.max_by("records", "batch").alias("records"), F.max_by("bytes", "batch").alias("bytes")))
 
 
 @query("stream_port_scan_alerts")
@@ -639,7 +645,7 @@ def _(spark, d):
 SLICES, SLICE_FILES, SLICE_DELAY_S = 5, 2, 3600.0
 
 
-def _streamed(spark: SparkSession, d: str, names: tuple[str, ...], again: bool = False) -> StreamDetector:
+def _streamed(spark: SparkSession, d: str, names: tuple[str, ...], again: bool = False, feeds: DataFrame | None = None) -> StreamDetector:
     """The events as files of five consecutive time slices, one slice per micro-batch, through the
     incremental detector with a delay far below a slice.  ``again``: a sixth slice repeats every
     50th event of the first one, too late for the watermark."""
@@ -655,15 +661,15 @@ def _streamed(spark: SparkSession, d: str, names: tuple[str, ...], again: bool =
     if again:
         flows.where((F.col("ts_us") < low + width) & (F.col("seq") % 50 == 0)).repartition(SLICE_FILES).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(folder)
-    found = StreamDetector(spark, f"{folder}-state", EVENTS, delay_s=SLICE_DELAY_S, names=names, ml=False)
+    found = StreamDetector(spark, f"{folder}-state", EVENTS, delay_s=SLICE_DELAY_S, feeds=feeds, names=names, ml=False)
     found.start(stream, availableNow="true").awaitTermination()
     return found
 
 
 @query("stream_rule_alerts")
 def _(spark, d):
-    """The rules over five micro-batches: the batch result."""
-    return plain_alerts(_streamed(spark, d, ("port_scan", "dns", "time_of_day")).finish().rules)
+    """All six rules with feeds over five micro-batches: the batch result."""
+    return plain_alerts(_streamed(spark, d, EVERY, feeds=_feed_entries(spark, d)).finish().rules)
 
 
 @query("stream_late_rows")

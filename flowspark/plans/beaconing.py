@@ -10,6 +10,7 @@ from ..operators.firsts import top_per_group
 from ..operators.incidents import only_busy, to_units
 from ..operators.tiles import tile_of
 from ..schema import as_alerts
+from ..session import stored
 
 PAIR = ["src_ip", "dst_ip"]
 
@@ -90,7 +91,8 @@ def interval_stats(tiles: DataFrame, p: Beaconing) -> DataFrame:
 
 def beacons(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     rows = only_busy(flows.select(*PAIR, "dst_port", "ts_us"), PAIR, s.beaconing.connections_over)
-    return beacons_from(tile_summaries(to_units(rows, PAIR), s.beaconing), rows.select(*PAIR, "dst_port"), s)
+    units = stored(to_units(rows, [*PAIR, "dst_port"]), "units-beaconing")       # instants may repeat: no time lies between
+    return beacons_from(tile_summaries(units, s.beaconing), units, s)
 
 
 def beacons_from(tiles: DataFrame, ports: DataFrame, s: Settings = DEFAULT) -> DataFrame:

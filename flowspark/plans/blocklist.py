@@ -9,6 +9,7 @@ from ..functions.text import peer_label, port_list, seen_text
 from ..operators.containment import endpoints, listed, static_entries
 from ..operators.firsts import first_values
 from ..schema import as_alerts
+from ..session import stored
 
 GROUP = ["bad_ip", "outbound"]
 
@@ -59,7 +60,7 @@ def listed_groups(cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def blocklist_alerts(flows: DataFrame, s: Settings = DEFAULT, feeds: DataFrame | None = None) -> DataFrame:
-    return blocklist_alerts_from(listed_cells(flows, listed_hosts(flows, s, feeds)), s)
+    return blocklist_alerts_from(stored(listed_cells(flows, listed_hosts(flows, s, feeds)), "listed"), s)
 
 
 def blocklist_alerts_from(cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:
