@@ -512,3 +512,7 @@ UNION ALL SELECT 5 AS batch, (SELECT COUNT(*) FROM flows) + (SELECT COUNT(*) FRO
 
 ORACLES["alerts_csv_sink"] = ORACLES["alerts_json_sink"] = ORACLES["alerts_flat"]
 ORACLES["alerts_log_sink"] = f"WITH {ALERTS} SELECT severity, alert_type, COUNT(*) AS alerts FROM alerts GROUP BY ALL"
+ORACLES["stream_log_counts"] = f"""WITH {LINES},
+read AS (SELECT seq, reason = '' AS good FROM shaped WHERE kind = 'row' AND reason = '' UNION ALL SELECT seq, FALSE AS good FROM line_rejects)
+SELECT CAST(seq % 4 AS BIGINT) AS batch, COUNT(*) AS total, count_if(good)::BIGINT AS valid, count_if(NOT good)::BIGINT AS invalid
+FROM read GROUP BY seq % 4"""

@@ -16,7 +16,7 @@ from ..session import pin, shared_dir
 from ..sources import capture, feeds as feed_source, logs
 from ..sources.profiles import NATIVE_HEADER, PROFILES, custom_profile, resolve_layout
 from ..sources.tables import events_flows, events_to_flows, lineitem_flows
-from ..streaming import live
+from ..streaming import live, logs as log_stream
 from ..streaming.detector import EVERY, StreamDetector
 from ..config import us
 from . import inputs
@@ -643,6 +643,7 @@ def _(spark, d):
 
 
 SLICES, SLICE_FILES, SLICE_DELAY_S = 5, 2, 3600.0
+LOG_FILES = 4
 
 
 def _streamed(spark: SparkSession, d: str, names: tuple[str, ...], again: bool = False, feeds: DataFrame | None = None) -> StreamDetector:
@@ -680,3 +681,16 @@ def _(spark, d):
 @query("stream_counters")
 def _(spark, d):
     return _streamed(spark, d, ("time_of_day",), again=True).counters().select(F.col("batch").cast("bigint").alias("batch"), "rows", "late", "final_rows")
+
+
+@query("stream_log_counts")
+def _(spark, d):
+    """The native log lines as four files, a micro-batch each, through the log stream: totals of each."""
+    import uuid
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = inputs.log_lines(inputs.events(spark, d))
+    for i in range(LOG_FILES):                # written one after the other: their files are in time order
+        lines.where(F.col("seq") % LOG_FILES == i).select("value").coalesce(1).write.mode("append").text(folder)
+    found = StreamDetector(spark, f"{folder}-state", EVENTS, names=("time_of_day",), ml=False)
+    log_stream.detect_logs(spark, f"{folder}/*.txt", resolve_layout(NATIVE_HEADER, None, lambda text: False), found).awaitTermination()
+    return log_stream.log_counts(spark, found.folder).read_all(with_batch=True).select(F.col("batch").cast("bigint").alias("batch"), "total", "valid", "invalid")

@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import DEFAULT, Settings, us
 from ..operators.scan import running
 from ..operators.tiles import tile_of
+from ..session import stored
 
 
-def _before(rows: DataFrame, keys: Sequence[str], window_us: int, out: str) -> DataFrame:
+def _before(groups: DataFrame, keys: Sequence[str], window_us: int, out: str) -> DataFrame:
     """Per (keys, instant, block): rows and bytes that precede it inside the trailing window.
 
     "Precede" is the order (time, block).  Sums run over enter and leave marks of pre-counted
     groups, scanned by volume: neither a hot key nor a hot instant meets one task.
     """
     keys = list(keys)
-    groups = rows.groupBy(*keys, "ts_us", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes"))
+    groups = groups.groupBy(*keys, "ts_us", "block").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     marks = groups.select(*keys, F.explode(F.array(
         F.struct(F.col("ts_us").alias("at"), F.lit(1).alias("enters"), F.col("block").alias("block"),
                  F.col("n").alias("n"), F.col("bytes").alias("bytes")),
@@ -40,8 +40,11 @@ def flow_features(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """
     window = us(s.forest.window_s)
     rows = flows.withColumn("block", tile_of("seq", s.seq_block))
-    src = _before(rows, ["src_ip"], window, "src")
-    pair = _before(rows, ["src_ip", "dst_ip"], window, "pair").drop("pair_bytes")
+    # Both windows start from one table of counted instants.
+    groups = stored(rows.groupBy("src_ip", "dst_ip", "ts_us", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("packet_length").alias("bytes")), "instants")
+    src = _before(groups, ["src_ip"], window, "src")
+    pair = _before(groups, ["src_ip", "dst_ip"], window, "pair").drop("pair_bytes")
     before = pair.join(src, ["src_ip", "ts_us", "block"])
 
     own_src = Window.partitionBy("src_ip", "ts_us", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,6 +8,7 @@ from ..config import DEFAULT, OffHours, Settings
 from ..functions.text import peer_label, seen_text
 from ..operators.firsts import first_values, top_per_group
 from ..schema import as_alerts
+from ..session import stored
 
 
 def outside_business(ts: Column, p: OffHours) -> Column:
@@ -44,7 +45,7 @@ def off_hours_sources(cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def off_hours_alerts(flows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return off_hours_alerts_from(off_hours_cells(flows, s.off_hours), s)
+    return off_hours_alerts_from(stored(off_hours_cells(flows, s.off_hours), "off-hours"), s)
 
 
 def off_hours_alerts_from(cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:

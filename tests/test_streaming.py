@@ -20,7 +20,7 @@ from flowspark.streaming.detector import StreamDetector
 from flowspark.streaming.keyed import FOREVER, KeyState
 from flowspark.streaming.live import live_traffic
 from flowspark.sources.profiles import NATIVE_HEADER, resolve_layout
-from flowspark.streaming.logs import detect_logs, parse_batch
+from flowspark.streaming.logs import detect_logs, log_counts, parse_batch
 
 FEW_TREES = replace(DEFAULT, forest=Forest(trees=20, warmup_rows=300))
 
@@ -130,6 +130,7 @@ def test_log_files_stream(spark, folder):
     detect_logs(spark, f"{folder}/*.csv", layout, detector).awaitTermination()
     assert kinds(detector.finish().rules) == [("PORT_SCAN", "MEDIUM", "10.0.0.9", "10.0.0.1")]
     assert spark.read.parquet(f"{folder}/state/rejects/batch=*").count() == 2
+    assert sorted(tuple(r) for r in log_counts(spark, f"{folder}/state").read_all(with_batch=True).collect()) == [(9, 8, 1, 0), (9, 8, 1, 1)]
 
 
 def test_row_numbers_of_many_batches(spark):
