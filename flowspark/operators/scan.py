@@ -78,6 +78,12 @@ class _Stretch:
                 state.append(found[n - 1])
                 out.append(found)
                 continue
+            if op == "opened":
+                start, gap = (batch.column(i).cast(pa.int64()).to_numpy() for i in column)
+                found = _opened(start, reach, segment, gap, None if new[0] else self.state[at])
+                state.append(int(found[-1]))
+                out.append(pa.array(found))
+                continue
             values = batch.column(column).cast(pa.int64())
             known = values.is_valid().to_numpy(zero_copy_only=False)
             values = values.fill_null(_NULL).to_numpy()
@@ -101,6 +107,7 @@ class _Stretch:
                 if op == "max_before":
                     found = np.concatenate(([_NULL if new[0] else before], run[:-1]))
                     found[begins] = _NULL
+                    reach = found
                 elif op == "min":
                     found = np.where(run == _NULL, _NULL, -run)
                 state.append(int(run[-1]) if op != "min" else int(found[-1]))
@@ -120,6 +127,13 @@ class _Stretch:
         return [*out, pa.array(head)]
 
 
+def _opened(start: np.ndarray, reach: np.ndarray, segment: np.ndarray, gap: np.ndarray, before: int | None) -> np.ndarray:
+    """The start of the interval that opened each row's cluster; reach: the greatest end before the row."""
+    breaks = (reach == _NULL) | (start - gap > reach)
+    at = np.maximum.accumulate(np.where(breaks, np.arange(len(start)), -1))
+    return np.where(at < 0, _NULL if before is None else before, start[np.maximum(at, 0)])
+
+
 def _ends(edges: list, keys: Sequence[str], folds: dict[str, tuple[str, str]]) -> list[tuple]:
     """From the first and last row of each part, what the rows of its first key must add from before
     and what follows its last row."""
@@ -153,7 +167,7 @@ def _local(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dict
     """The stored parts: df with the folds inside each part, ``part``, ``head`` (a row of the part's
     first key), ``is_first`` and ``is_last`` (row of the part)."""
     names = [*keys, *[c for c in df.columns if c not in keys]]
-    steps = [(op, names.index(column)) for op, column in folds.values()]
+    steps = [(op, names.index(column) if isinstance(column, str) else [names.index(c) for c in column]) for op, column in folds.values()]
     ranged = df.select(*names).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     added = [*folds, "head", "is_first", "is_last", "part"]
 
@@ -217,3 +231,29 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dic
             value = F.when(F.col("is_last"), F.coalesce(here, there)).otherwise(here)
         out.append(value.alias(name))
     return rows.select(*df.columns, *out)
+
+
+def clusters(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: str) -> DataFrame:
+    """df with ``cluster``, which tells apart the unions of a key's intervals that overlap or lie at
+    most ``gap`` (a column that is the same for all rows of a key) apart: the start of the first one.
+
+    A part takes its first key for a new one; where an earlier part reaches up to a cluster's start,
+    the cluster goes on from there, and only clusters of the part's first key can."""
+    keys = list(keys)
+    local = _local(df, keys, [start, end], {"_reach": ("max_before", end), "cluster": ("opened", (start, gap))})
+    edges = local.where("is_first OR is_last").select(*dict.fromkeys([*keys, end, gap, "_reach", "cluster", "part", "head", "is_first", "is_last"])).collect()
+    firsts, lasts = ({r["part"]: r for r in edges if r[flag]} for flag in ("is_first", "is_last"))      # two rows a part
+    out, key, reach, opened = [], None, None, None
+    for part in sorted(firsts):
+        first, last = firsts[part], lasts[part]
+        met = key is not None and [first[k] for k in keys] == key
+        out.append((part, reach if met else None, opened if met else None))
+        goes_on = met and last["head"]
+        if not (goes_on and last["cluster"] <= reach + last[gap]):
+            opened = last["cluster"]
+        own = _joined("max", last["_reach"], last[end])
+        key, reach = [last[k] for k in keys], max(reach, own) if goes_on else own
+    added = df.sparkSession.createDataFrame(out, "part int, _before bigint, _opened bigint")
+    goes_on = F.col("head") & (F.col("cluster") <= F.col("_before") + F.col(gap))
+    return local.join(F.broadcast(added), "part", "left").select(                       # one row a part
+        *df.columns, F.when(goes_on, F.col("_opened")).otherwise(F.col("cluster")).alias("cluster"))

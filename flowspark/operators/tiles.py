@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import scan
 from .scan import running
 
 
@@ -60,14 +61,10 @@ def trailing_metric(units: DataFrame, keys: Sequence[str], window_us: int, over:
 
 
 def clusters(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: Column | int) -> DataFrame:
-    """df with ``cluster``, the number (from 1) of the union of a key's intervals that overlap or lie
-    at most ``gap`` apart; a gap given by a column must be the same for all rows of a key."""
+    """df with ``cluster``, the same number for all intervals of a key whose union they are: those that
+    overlap or lie at most ``gap`` apart; a gap given by a column must be the same for all rows of a key."""
     gap = F.lit(gap) if isinstance(gap, int) else gap
-    reached = running(df, keys, [start, end], {"_reach": ("max_before", end)})
-    breaks = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap)
-    marked = reached.select(*df.columns, breaks.cast("int").alias("_breaks"), (~breaks).cast("int").alias("_stays"))
-    # Of equal intervals the one that opens the cluster comes first.
-    return running(marked, keys, [start, end, "_stays"], {"cluster": ("sum", "_breaks")}).drop("_breaks", "_stays")
+    return scan.clusters(df.withColumn("_gap", gap.cast("bigint")), keys, start, end, "_gap").drop("_gap")
 
 
 def cluster_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: Column | int,

@@ -70,3 +70,29 @@ def test_empty_and_unknown(spark):
     assert running(df, ["key"], ["at"], {"s": ("sum", "v")}).count() == 0
     with pytest.raises(ValueError, match="fold"):
         running(df, ["key"], ["at"], {"s": ("median", "v")})
+
+
+@pytest.mark.parametrize("hot", [0.3, 1.0])
+def test_clusters_over_many_parts(spark, hot):
+    """Long intervals that reach over several parts, chains, ties and nested ones."""
+    draw, rows = random.Random(11), []
+    for _ in range(500):
+        start = draw.randrange(0, 3000)
+        rows.append(("hot" if draw.random() < hot else f"k{draw.randrange(9)}", start, start + draw.choice([0, 1, 2, 5, draw.randrange(1, 400) if draw.random() < .1 else 3])))
+    want = []
+    for key in {r[0] for r in rows}:
+        mine, opened, reach = sorted(r for r in rows if r[0] == key), None, None
+        for _, start, end in mine:
+            if reach is None or start > reach + 2:
+                opened = start
+            reach = end if reach is None else max(reach, end)
+            want.append((key, start, end, opened))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        df = spark.createDataFrame(rows, "k string, s long, e long").withColumn("g", F.lit(2))
+        got = scan.clusters(df, ["k"], "s", "e", "g").select("k", "s", "e", "cluster").collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len({w[3] for w in want}) > 30
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
