@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import Beaconing, BruteForce, DnsTunnel, Forest, OffHours, PortScan, Settings
-from ..schema import as_alerts
+from ..schema import FLOW_FIELDS, as_alerts
+from ..sources.profiles import NATIVE_HEADER, UNSW_HEADERLESS
 
 HOUR = 3600.0
 DAY = 24 * HOUR
@@ -96,6 +99,47 @@ def log_lines(ev: DataFrame) -> DataFrame:
         .otherwise(body).alias("value"))
 
 
+#: Events of one log file of the mixed folder.
+FILE_EVENTS = 500
+CICIDS_HEADER = ("Flow ID,Source IP,Source Port,Destination IP,Destination Port,Protocol,Timestamp,Flow Duration,"
+                 "Total Length of Fwd Packets,Label")
+
+
+def headerless_lines(ev: DataFrame) -> DataFrame:
+    """``seq, value``: events as lines of the layout that has no header."""
+    fields = {"srcip": "src_ip", "sport": "src_port", "dstip": "dst_ip", "dsport": "dst_port", "proto": "protocol",
+              "sbytes": "packet_length", "Stime": "timestamp"}
+    return raw_unsw(ev).select("seq", F.concat_ws(",", *[F.col(fields[c]) if c in fields else F.lit("0") for c in UNSW_HEADERLESS]).alias("value"))
+
+
+def mixed_lines(ev: DataFrame) -> DataFrame:
+    """``file, seq, value``: each file holds consecutive events in one of four layouts, the fourth unusable;
+    a header has seq -1."""
+    file = F.call_function("div", F.col("seq"), F.lit(FILE_EVENTS).cast("bigint"))
+    native = raw_fields(ev).select("seq", F.concat_ws(",", *FLOW_FIELDS).alias("value"))
+    cicids = raw_cicids(ev).select("seq", F.concat_ws(
+        ",", F.lit("f"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "timestamp", F.lit("1"), "packet_length", F.lit("x")).alias("value"))
+    junk = ev.select(F.col("event_id").alias("seq"), F.format_string("%d,%d", "event_id", "k").alias("value"))
+    heads = (",".join(NATIVE_HEADER), CICIDS_HEADER, None, "what,is")
+    parts = [rows.withColumn("file", file).where(F.col("file") % len(heads) == kind)
+             for kind, rows in enumerate((native, cicids, headerless_lines(ev), junk))]
+    opened = [rows.select("file").distinct().select(F.lit(-1).cast("bigint").alias("seq"), F.lit(head).alias("value"), "file")
+              for rows, head in zip(parts, heads) if head]
+    return reduce(DataFrame.unionByName, [*parts, *opened])
+
+
+def offset_fields(ev: DataFrame) -> DataFrame:
+    """Native fields whose times carry offsets, in four spellings."""
+    at = F.col("ts").cast("timestamp")
+    kind = F.col("event_id") % 4
+    shown = F.when(kind == 0, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200"))).when(
+        kind == 1, F.concat(F.date_format(at, "yyyy/MM/dd HH:mm:ss"), F.lit(" -05:30"))).when(
+        kind == 2, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).otherwise(
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+    return ev.select(F.col("event_id").alias("seq"), shown.alias("timestamp"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"),
+                     F.lit("1").alias("src_port"), F.lit("2").alias("dst_port"), F.lit("tcp").alias("protocol"), F.lit("3").alias("packet_length"))
+
+
 def supplier_feed_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Two blocklists' text lines made from suppliers: hosts, networks, notes, comments, junk."""
     s = F.col("s_suppkey")

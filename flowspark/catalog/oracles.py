@@ -309,6 +309,19 @@ line_rejects AS (
   UNION ALL SELECT seq, 'repeated header row' FROM (
     SELECT seq, row_number() OVER (PARTITION BY seq % 4 ORDER BY seq) AS nth FROM shaped WHERE kind = 'header') WHERE nth > 1)"""
 
+CICIDS_ROWS = """SELECT seq, epoch_us(date_trunc('minute', ts)) AS ts_us, '10.0.0.' || (user_id % 256) AS src_ip,
+        '192.168.1.10' AS dst_ip, CAST(k AS INTEGER) AS src_port, CAST(k AS INTEGER) AS dst_port,
+        CASE i % 5 WHEN 0 THEN 'TCP' WHEN 1 THEN 'UDP' WHEN 2 THEN 'HOPOPT' WHEN 3 THEN 'PROTO-200' ELSE 'ARP' END AS protocol,
+        CAST(round(value * 100) AS BIGINT) * 1000 AS packet_length FROM raw"""
+UNSW_ROWS = """SELECT seq, epoch_us(date_trunc('second', ts)) AS ts_us, '10.0.0.' || (user_id % 256) AS src_ip,
+        '192.168.1.10' AS dst_ip, CAST(CASE WHEN i % 3 = 0 THEN 0 ELSE k END AS INTEGER) AS src_port,
+        CAST(CASE WHEN i % 11 = 0 THEN 0 ELSE k END AS INTEGER) AS dst_port, 'TCP' AS protocol, CAST(0 AS BIGINT) AS packet_length
+        FROM raw WHERE i % 13 <> 0"""
+MIXED_KIND = "i // 500 % 4"
+UNSW_LINE = """CASE WHEN i % 3 = 0 THEN '-' WHEN i % 3 = 1 THEN '0x00' || printf('%X', k) ELSE CAST(k AS VARCHAR) END AS sp,
+        CASE WHEN i % 11 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS dp,
+        CASE WHEN i % 2 = 0 THEN epoch_us(ts) // 1000000 ELSE epoch_us(ts) // 1000000 * 1000 END AS st"""
+
 MERGED = f"""WITH {ALERTS},
 keyed AS (SELECT *, CASE alert_type WHEN 'PORT_SCAN' THEN {72 * HOUR_US} WHEN 'BRUTE_FORCE' THEN {120 * HOUR_US}
                          WHEN 'DNS_TUNNELING' THEN {72 * HOUR_US} END AS gap FROM alerts),
@@ -456,14 +469,24 @@ ORACLES: dict[str, str] = {
     "parse_quality": f"""WITH {RAW} SELECT COUNT(*) AS total, COUNT(*) FILTER (reason = '') AS valid,
         COUNT(*) FILTER (reason <> '') AS invalid FROM native""",
     "parse_reject_sample": f"WITH {RAW} {REJECTS} ORDER BY seq LIMIT 100",
-    "parse_cicids": f"""WITH {RAW} SELECT seq, epoch_us(date_trunc('minute', ts)) AS ts_us, '10.0.0.' || (user_id % 256) AS src_ip,
-        '192.168.1.10' AS dst_ip, CAST(k AS INTEGER) AS src_port, CAST(k AS INTEGER) AS dst_port,
-        CASE i % 5 WHEN 0 THEN 'TCP' WHEN 1 THEN 'UDP' WHEN 2 THEN 'HOPOPT' WHEN 3 THEN 'PROTO-200' ELSE 'ARP' END AS protocol,
-        CAST(round(value * 100) AS BIGINT) * 1000 AS packet_length FROM raw""",
-    "parse_unsw": f"""WITH {RAW} SELECT seq, epoch_us(date_trunc('second', ts)) AS ts_us, '10.0.0.' || (user_id % 256) AS src_ip,
-        '192.168.1.10' AS dst_ip, CAST(CASE WHEN i % 3 = 0 THEN 0 ELSE k END AS INTEGER) AS src_port,
-        CAST(CASE WHEN i % 11 = 0 THEN 0 ELSE k END AS INTEGER) AS dst_port, 'TCP' AS protocol, CAST(0 AS BIGINT) AS packet_length
-        FROM raw WHERE i % 13 <> 0""",
+    "parse_cicids": f"WITH {RAW} {CICIDS_ROWS}",
+    "parse_unsw": f"WITH {RAW} {UNSW_ROWS}",
+    "parse_headerless": f"WITH {RAW} {UNSW_ROWS}",
+    "parse_mixed_layouts": f"""WITH {RAW}, rows AS ({NATIVE_ROWS} AND {MIXED_KIND} = 0
+        UNION ALL {CICIDS_ROWS} WHERE {MIXED_KIND} = 1 UNION ALL {UNSW_ROWS} AND {MIXED_KIND} = 2) SELECT * EXCLUDE (seq) FROM rows""",
+    "parse_mixed_rejects": f"""WITH {RAW}, lines AS (SELECT *, {UNSW_LINE} FROM raw)
+        SELECT reason, CASE WHEN i % 19 <> 0 AND i % 31 <> 0 THEN replace(raw, ',10.0.0.', ', 10.0.0.') ELSE raw END AS raw
+            FROM ({REJECTS.replace("SELECT seq,", "SELECT i,", 1)} AND {MIXED_KIND} = 0)
+        UNION ALL SELECT 'invalid protocol', '10.0.0.' || (user_id % 256) || ',' || sp || ',192.168.1.10,' || dp || ',bad name,0,0,0'
+            || repeat(',0', 20) || ',' || st || repeat(',0', 20) FROM lines WHERE i % 13 = 0 AND {MIXED_KIND} = 2
+        UNION ALL SELECT 'file skipped: closest profile ''default'' is missing: timestamp (as Timestamp or timestamp); '
+            || 'src_ip (as Source IP or src_ip or source_ip); dst_ip (as Destination IP or dst_ip or destination_ip); '
+            || 'src_port (as Source Port or src_port or source_port); dst_port (as Destination Port or dst_port or destination_port); '
+            || 'protocol (as Protocol or protocol); packet_length (as Packet Length or packet_length)', 'what,is'
+            FROM (SELECT DISTINCT i // 500 FROM raw WHERE {MIXED_KIND} = 3)""",
+    "parse_offsets": """SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN epoch_us(date_trunc('second', ts)) - 7200000000
+        WHEN 1 THEN epoch_us(date_trunc('second', ts)) + 19800000000 WHEN 2 THEN epoch_us(ts)
+        ELSE epoch_us(date_trunc('second', ts)) END AS ts_us FROM events""",
     "parse_custom": f"""WITH {RAW} SELECT seq, ts_us, src_ip, dst_ip, src_port, CAST(dst_port AS INTEGER) AS dst_port, protocol, packet_length
         FROM native WHERE i % 29 <> 0 AND i % 19 <> 0 AND i % 17 <> 0 AND protocol = 'TCP' AND i % 41 <> 0 AND i % 43 <> 0""",
     "parse_lines": f"WITH {LINES} SELECT seq, ts_us, src_ip, dst_ip, src_port, CAST(dst_port AS INTEGER) AS dst_port, protocol, packet_length "

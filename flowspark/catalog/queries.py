@@ -554,6 +554,40 @@ def _(spark, d):
     return validate.reason_counts(logs.read_logs(spark, folder, "auto").rejects)
 
 
+def _mixed_log(spark: SparkSession, d: str) -> logs.ParsedLog:
+    """A folder of files of four layouts, one of them unusable, written and read back."""
+    import uuid
+    folder = f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}"
+    inputs.mixed_lines(inputs.events(spark, d)).repartition("file").sortWithinPartitions("file", "seq").select(
+        "file", "value").write.partitionBy("file").text(folder)
+    return logs.read_logs(spark, f"{folder}/file=*", "auto")
+
+
+@query("parse_mixed_layouts")
+def _(spark, d):
+    """Flows of all usable files, each by its own layout, in one plan."""
+    return _mixed_log(spark, d).flows.drop("timestamp", "seq")
+
+
+@query("parse_mixed_rejects")
+def _(spark, d):
+    """Rejects by reason and text: damaged rows and, once for each, files without a layout."""
+    return _mixed_log(spark, d).rejects.select("reason", "raw")
+
+
+@query("parse_headerless")
+def _(spark, d):
+    """Lines of the layout without a header, detected by the first of them."""
+    lines = inputs.headerless_lines(inputs.events(spark, d)).withColumn("source", F.lit("lines"))
+    return logs.parse_lines(lines, logs.layout_of(lines)).flows.drop("timestamp")
+
+
+@query("parse_offsets")
+def _(spark, d):
+    """Times with offsets become UTC."""
+    return validate.valid_rows(validate.convert(inputs.offset_fields(inputs.events(spark, d)), PROFILES["default"])).select("seq", "ts_us")
+
+
 def _with_header(header: str):
     def add(batches):
         import pyarrow as pa

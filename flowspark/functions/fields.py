@@ -31,13 +31,17 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def whole(x: Column, low: int, high: int | None) -> Column:
-    """A parsed number as BIGINT, if it is whole and inside the bounds."""
+def whole(x: Column, low: int | Column, high: int | Column | None) -> Column:
+    """A parsed number as BIGINT, if it is whole and inside the bounds; a null bound is none."""
     ok = (x % 1 == 0) & (x >= low)
-    return F.when(ok & (x <= high) if high is not None else ok, x.try_cast("bigint"))
+    if isinstance(high, Column):
+        ok = ok & F.coalesce(x <= high, F.lit(True))
+    elif high is not None:
+        ok = ok & (x <= high)
+    return F.when(ok, x.try_cast("bigint"))
 
 
-def timestamp(text: Column, dayfirst: bool = False, epoch: Column | None = None) -> Column:
+def timestamp(text: Column, dayfirst: bool | Column = False, epoch: Column | None = None) -> Column:
     """Epoch seconds or milliseconds, ISO text (with or without offset), and common date texts.
 
     Text with an offset becomes UTC; text without one is kept as written (the session zone is
@@ -56,11 +60,15 @@ def timestamp(text: Column, dayfirst: bool = False, epoch: Column | None = None)
     parts = r"^([0-9]{1,2})[-./]([0-9]{1,2})[-./]([0-9]{4})[ T]*(.*)$"
     day_month = F.rtrim(F.regexp_replace(text, parts, "$3-$2-$1 $4")).try_cast("timestamp")
     month_day = F.rtrim(F.regexp_replace(text, parts, "$3-$1-$2 $4")).try_cast("timestamp")
-    digits = F.coalesce(day_month, month_day) if dayfirst else F.coalesce(month_day, day_month)
+
+    def ordered(day: list[Column], month: list[Column], rest: list[Column]) -> Column:
+        """The readings in the order of ``dayfirst``, which may differ from row to row."""
+        return F.when(F.lit(dayfirst), F.coalesce(*day, *month, *rest)).otherwise(F.coalesce(*month, *day, *rest))
+
+    digits = ordered([day_month], [month_day], [])
 
     clock = " h:m[:s] a"
-    dates = ("d/M/yyyy", "M/d/yyyy") if dayfirst else ("M/d/yyyy", "d/M/yyyy")
-    halves = F.coalesce(*[F.try_to_timestamp(F.upper(text), F.lit(d + clock)) for d in (*dates, "yyyy-M-d")])
+    halves = ordered(*[[F.try_to_timestamp(F.upper(text), F.lit(d + clock))] for d in ("d/M/yyyy", "M/d/yyyy", "yyyy-M-d")])
     named = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in NAMED])
     return (F.when(epoch.isNotNull(), F.when(epoch > 0, from_epoch))
             .when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.]+$"), text.try_cast("timestamp"))
@@ -70,7 +78,7 @@ def timestamp(text: Column, dayfirst: bool = False, epoch: Column | None = None)
             .when(text.rlike("[A-Za-z]{3}"), named))
 
 
-def port(text: Column, missing_as_zero: bool = False, decimal: Column | None = None) -> Column:
+def port(text: Column, missing_as_zero: bool | Column = False, decimal: Column | None = None) -> Column:
     """Decimal or 0x-hexadecimal port 0..65535; ``decimal`` is ``number(text)`` if at hand."""
     decimal = number(text) if decimal is None else decimal
     low = F.lower(text)
@@ -78,9 +86,8 @@ def port(text: Column, missing_as_zero: bool = False, decimal: Column | None = N
                          F.conv(F.substring(low, 3, 64), 16, 10).try_cast("bigint"))
     value = F.when(decimal.isNotNull(), whole(decimal, 0, 65535)).when(
         hexadecimal.between(0, 65535), hexadecimal)
-    if missing_as_zero:
-        value = F.when(low.isin(*PORT_PLACEHOLDERS), F.lit(0).cast("bigint")).otherwise(value)
-    return value.cast("int")
+    zero = F.lit(missing_as_zero) & low.isin(*PORT_PLACEHOLDERS)
+    return F.when(zero, F.lit(0).cast("bigint")).otherwise(value).cast("int")
 
 
 def protocol(text: Column) -> Column:

@@ -15,9 +15,11 @@ from ..sources.profiles import Profile
 WHITE_SPACE = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def convert(raw: DataFrame, profile: Profile) -> DataFrame:
+def convert(raw: DataFrame, *profiles: Profile) -> DataFrame:
     """Typed columns plus ``reason`` (null when the row is valid).
 
+    Of several ``profiles``, column ``profile`` of ``raw`` tells the number of the row's own.
+
     ``raw`` holds ``seq``, the seven flow fields as text and, where there is one, the ``line`` they
     come from, which a rejected row keeps whole, and its ``fault``, a reason known beforehand.  All broken fields of a row are
     named, in schema order.  Every field is converted once, in the JVM.
@@ -25,25 +27,35 @@ def convert(raw: DataFrame, profile: Profile) -> DataFrame:
     bare = {c: F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE_SPACE)) for c in FLOW_FIELDS}
     line = F.col("line") if "line" in raw.columns else F.concat_ws(",", *bare.values())
     fault = F.col("fault") if "fault" in raw.columns else F.lit(None).cast("string")
-    text = raw.select("seq", line.alias("raw"), fault.alias("fault"), *[value.alias(c) for c, value in bare.items()])
+    own = ["profile"] if len(profiles) > 1 else []
+
+    def rule(values: list, kind: str) -> Column:
+        """The value of the row's own profile."""
+        last = F.lit(values[-1]).cast(kind) if not isinstance(values[-1], Column) else values[-1]
+        for i, value in reversed(list(enumerate(values[:-1]))):
+            last = F.when(F.col("profile") == i, value).otherwise(last)
+        return last
+
+    text = raw.select("seq", *own, line.alias("raw"), fault.alias("fault"), *[value.alias(c) for c, value in bare.items()])
     # Two projections, each column once: numbers first, then the values made of them.
     numbers = text.select("*", *[fields.number(F.col(c)).alias(f"{c}_n")
                                  for c in ("timestamp", "src_port", "dst_port", "packet_length")])
 
     def port(c: str) -> Column:
-        return fields.port(F.col(c), profile.missing_port_as_zero, F.col(f"{c}_n"))
+        return fields.port(F.col(c), rule([p.missing_port_as_zero for p in profiles], "boolean"), F.col(f"{c}_n"))
 
     values = numbers.select(
-        "seq", "src_ip", "dst_ip",
-        fields.timestamp(F.col("timestamp"), profile.dayfirst, F.col("timestamp_n")).alias("t"),
+        "seq", *own, "src_ip", "dst_ip",
+        fields.timestamp(F.col("timestamp"), rule([p.dayfirst for p in profiles], "boolean"), F.col("timestamp_n")).alias("t"),
         is_ip(F.col("src_ip")).alias("src_ok"), is_ip(F.col("dst_ip")).alias("dst_ok"),
         port("src_port").alias("sp"), port("dst_port").alias("dp"), fields.protocol(F.col("protocol")).alias("proto"),
-        fields.whole(F.col("packet_length_n"), profile.length_min, profile.length_max).alias("len"),
+        fields.whole(F.col("packet_length_n"), rule([p.length_min for p in profiles], "bigint"),
+                     rule([p.length_max for p in profiles], "bigint")).alias("len"),
         "raw", "fault")
     made = [c for c in values.columns if c != "seq"]
     typed = once(values, ["seq"], [F.col(c) for c in made])
-    known = (F.col("proto").isin(*profile.protocols) if profile.protocols
-             else F.col("proto").rlike(r"^[A-Z0-9][A-Z0-9_.\-]*$"))
+    known = rule([F.col("proto").isin(*p.protocols) if p.protocols else F.col("proto").rlike(r"^[A-Z0-9][A-Z0-9_.\-]*$")
+                  for p in profiles], "boolean")
 
     def bad(condition: Column, name: str) -> Column:
         return F.when(condition, f"invalid {name}")

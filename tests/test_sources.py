@@ -200,3 +200,33 @@ def test_detectors_run_on_captures(spark, folder):
         f.write(bytes(fast))
     flows, _ = capture.read_captures(spark, f"{folder}/scan.pcap")
     assert port_scan_alerts(flows).first()["severity"] == "MEDIUM"
+
+
+def test_many_files_without_a_layout_add_no_scan(spark, folder):
+    head = "Flow ID,Source IP,Source Port,Destination IP,Destination Port,Protocol,Timestamp,Flow Duration,Total Length of Fwd Packets,Label"
+    write(folder, "a.csv", ["", HEADER, GOOD.format(i=1), HEADER])
+    write(folder, "b.csv", [head, "f,10.0.0.1,5000,10.0.0.2,53,17,3/7/2017 8:55,1,100000,BENIGN"])
+    few = logs.read_logs(spark, folder, "auto")
+    for i in range(20):
+        write(folder, f"bad{i}.csv", [f"what,is,{i}", "1,2,3"])
+        write(folder, f"bare{i}.csv", [",".join({"srcip": f"10.9.0.{i}", "sport": "1", "dstip": "10.0.0.9", "dsport": "53", "proto": "udp",
+                                                 "Stime": "1421927414"}.get(c, "0") for c in UNSW_HEADERLESS)])
+    write(folder, "empty.csv", ["", "  "])
+    many = logs.read_logs(spark, folder, "auto")
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert scans(many.flows) == scans(few.flows) == 2 and scans(many.rejects) == 5     # the text and the manifest, twice, and the skipped files
+    assert many.flows.count() == 22 and many.flows.where("src_ip like '10.9.%'").count() == 20
+    assert tuple(many.quality.first()) == (43, 22, 21)
+    skipped = many.rejects.where("reason like 'file skipped: closest%'")
+    assert {r["raw"] for r in skipped.collect()} == {f"what,is,{i}" for i in range(20)}
+
+
+def test_manifest_rows(spark, folder):
+    write(folder, "a.csv", ["﻿" + HEADER, GOOD.format(i=1)])
+    write(folder, "b.csv", ["one", "two"])
+    found = {r["source"][-5:]: r for r in logs.manifest(spark, folder, None).collect()}
+    assert found["a.csv"]["positions"] == list(range(7)) and found["a.csv"]["names"][0] == "timestamp" and found["a.csv"]["splits"] == 1
+    assert not found["a.csv"]["headerless"] and found["a.csv"]["profile"] == 0
+    assert found["b.csv"]["positions"] is None and found["b.csv"]["profile"] is None and "is missing" in found["b.csv"]["why"]
