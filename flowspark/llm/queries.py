@@ -57,10 +57,11 @@ def _urls_sql() -> str:
     weight = " + ".join(term(t, f"{w}::DOUBLE") for t, w in policy.soft.items())
     upper = "".join(map(chr, range(65, 91)))
     return f"""
-WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,
+         coalesce(translate(url, '{upper}', '{upper.lower()}'), '') AS place FROM pages),
+parts AS (SELECT page_id, place, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
                  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
-found AS (SELECT *, lower(host || ' ' || path) AS place, CASE {" ".join(f"{fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)} END AS rule,
+found AS (SELECT *, CASE {" ".join(f"{fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)} END AS rule,
                  CASE {" ".join(f"{fits(h, p)} THEN '{v}'" for h, p, v in rules)} END AS given FROM parts),
 hits AS (SELECT *, CAST({strict} AS INTEGER) AS strict_hits, CAST({soft} AS INTEGER) AS soft_hits, CAST({weight} AS DOUBLE) AS soft_weight FROM found)
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN strict_hits > 0 OR soft_hits > 1 AND soft_weight >= {policy.soft_limit} THEN 'block' ELSE 'allow' END) AS verdict,

@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
 A rule names a host (with all its subdomains) and the start of a path; of the rules that fit a URL
-the longest decides. URLs without a rule are judged by terms in host and path. A term counts where
-both its ends are word boundaries (no letter or digit follows on). One strict term rejects; soft
+the longest decides. URLs without a rule are judged by terms anywhere in the URL, query string and
+fragment included. A term counts where both its ends are word boundaries (no ASCII letter or digit follows on). One strict term rejects; soft
 terms reject together, when the weights of the distinct ones found reach a limit.
 """
 
@@ -21,6 +21,9 @@ SOFT = {"bets": 1.0, "bet": 1.0, "free": 1.0, "win": 1.0, "pills": 1.0, "cheap":
         "slots": 1.0, "bonus": 1.0, "loans": 1.0, "adult": 1.0, "nude": 1.0, "jackpot": 1.0, "pharmacy": 1.0, "dating": 1.0,
         "popup": 0.5, "promo": 0.5, "click": 0.5, "deal": 0.5, "deals": 0.5}
 SOFT_LIMIT = 2.0
+#: Characters that go on a word.
+WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules and terms are policy, not data: tables beyond this size are refused.
 MOST_ENTRIES = 1_000_000
 
@@ -67,14 +70,13 @@ class Matcher:
                 return best
             at = dot + 1
 
-    def hits(self, host: str, path: str) -> tuple[int, int, float]:
-        """Distinct strict and soft terms found, and the sum of the soft ones' weights."""
-        text = f"{host} {path}".lower()
+    def hits(self, text: str) -> tuple[int, int, float]:
+        """Distinct strict and soft terms found in a lower-cased URL, and the sum of the soft ones' weights."""
         strict, soft = set(), {}
         if len(self.terms):
             for end, (term, weight) in self.terms.iter(text):
                 before, after = end - len(term), end + 1
-                if before >= 0 and text[before].isalnum() or after < len(text) and text[after].isalnum():
+                if before >= 0 and text[before] in WORD or after < len(text) and text[after] in WORD:
                     continue
                 if weight is None:
                     strict.add(term)
@@ -87,7 +89,7 @@ def host_of(url: Column) -> Column:
     rest = F.substring_index(url, "://", 1)
     after = F.when(F.length(rest) < F.length(url), F.substring(url, F.length(rest) + 4, F.length(url)))
     host = F.regexp_extract(after, r"^([^/?#]*)", 1)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(host, UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -99,21 +101,22 @@ def path_of(url: Column) -> Column:
 def judged(pages: DataFrame, policy: Policy) -> DataFrame:
     """pages (page_id, url, ...) -> (page_id, host, path, rule, verdict, strict_hits, soft_hits,
     soft_weight), one row for each row of pages; only page_id and url are read. A null URL, or one
-    without "://", has an empty host and path, fits no rule and holds no term: it is allowed."""
+    without "://", has an empty host and path and fits no rule; a null one holds no term: it is allowed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(policy)
         for batch in batches:
             rules, verdicts, strict, soft, weights = [], [], [], [], []
-            for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found, (hard, some, weight) = match.rule(host, path), match.hits(host, path)
+            for host, path, url in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
+                found, (hard, some, weight) = match.rule(host, path), match.hits(url)
                 rules.append(found[0] if found else None)
                 verdicts.append(found[1] if found else "block" if hard or weight >= policy.soft_limit and some > 1 else "allow")
                 strict.append(hard)
                 soft.append(some)
                 weights.append(weight)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(rules, pa.string()), pa.array(verdicts, pa.string()), pa.array(strict, pa.int32()),
+                [*batch.columns[:3], pa.array(rules, pa.string()), pa.array(verdicts, pa.string()), pa.array(strict, pa.int32()),
                  pa.array(soft, pa.int32()), pa.array(weights, pa.float64())],
                 names=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"])
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).mapInArrow(
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                        F.coalesce(F.translate("url", UPPER, LOWER), F.lit("")).alias("place")).mapInArrow(
         run, "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, soft_weight double")

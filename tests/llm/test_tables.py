@@ -21,7 +21,10 @@ def judge(spark, links, policy=None):
 
 def test_hosts_rules_and_terms(spark):
     cases = [
-        (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no scheme/casino", "", "", None, "allow"),
+        (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no scheme/casino", "", "", None, "block"), ("no scheme/mycasino", "", "", None, "allow"),
+        ("https://a.example/?q=porn", "a.example", "/", None, "block"), ("https://a.example/#Free-Bets", "a.example", "/", None, "block"),
+        ("https://a.example/?q=freebets", "a.example", "/", None, "allow"), ("https://a.org/fr/?q=porn", "a.org", "/fr/", "org/fr/", "allow"),
+        ("https://a.example/?q=Épornö", "a.example", "/", None, "block"),
         ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),
         ("http://example.net/de/", "example.net", "/de/", "net/", "block"), ("http://example.net", "example.net", "", None, "allow"),
         ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"), ("x://b.example.com/de/casino", "b.example.com", "/de/casino", "example.com/de/", "block"),
