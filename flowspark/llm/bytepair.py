@@ -67,32 +67,40 @@ def offsets(path: str, ids: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths[ids])))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
+    """For each batch (doc_id, text): doc_ids, ids, and byte offsets of the ids with the text's end."""
+    coder = encoder(path, pattern)
+    for batch in batches:
+        ids = [np.frombuffer(x, dtype="<u4") for x in coder.ids([x or "" for x in batch.column(1).to_pylist()])]
+        yield batch.column(0), ids, [offsets(path, x) for x in ids]
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, ids, starts): ids of the whole text and the byte
     position of each; null texts are empty, null doc_ids and repeated rows stay as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, pattern)
-        for batch in batches:
-            ids = [np.frombuffer(x, dtype="<u4") for x in coder.ids([x or "" for x in batch.column(1).to_pylist()])]
-            starts = [offsets(path, x)[:-1] for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                                              pa.array(starts, pa.list_(pa.int64()))], names=["doc_id", "ids", "starts"])
+        for doc_ids, ids, at in _encoded(batches, path, pattern):
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                                              pa.array([x[:-1] for x in at], pa.list_(pa.int64()))], names=["doc_id", "ids", "starts"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, ids array<int>, starts array<long>")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of whole texts: what encoded() gives for
-    each document and what decode() makes of it, digested where they are made."""
+    """(doc_id, n_tokens, n_bytes, ids_sha256, decoded_sha256) of whole texts: the rows of encoded()
+    decoded and digested in the task that made them, so ids do not travel. Offsets that do not end
+    where the decoded bytes end are an error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, pattern)
-        for batch in batches:
-            out: list[tuple[int, str, str]] = []
-            for raw in coder.ids([x or "" for x in batch.column(1).to_pylist()]):
-                back = decode(path, np.frombuffer(raw, dtype="<u4"))
-                out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest()))
-            n, ids, text = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for doc_ids, ids, at in _encoded(batches, path, pattern):
+            ends, found = [int(x[-1]) for x in at], []
+            for of_doc, end in zip(ids, ends):
+                back = decode(path, of_doc)
+                if len(back) != end:
+                    raise ValueError(f"offsets end at byte {end} of {len(back)}")
+                found.append((hashlib.sha256(of_doc.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array(ends, pa.int64()),
+                 *[pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]],
+                names=["doc_id", "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, "doc_id long, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
 import re
 import zlib
@@ -74,7 +75,13 @@ def test_byte_pairs_of_messy_documents(spark, messy):
     got = bytepair.round_trip(messy, RANKS, public_tokenizers.PATTERN).collect()
     assert len(got) == messy.count()
     assert {r["n_tokens"] for r in got if r["doc_id"] in (0, 1)} == {0}
-    assert bytepair.encoded(messy, RANKS, public_tokenizers.PATTERN).count() == len(got)
+    rows = bytepair.encoded(messy, RANKS, public_tokenizers.PATTERN).collect()
+    digests = Counter((r["doc_id"], len(r["ids"]), hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()) for r in rows)
+    assert digests == Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in got)
+    texts = Counter((r["doc_id"], len((r["text"] or "").encode())) for r in messy.collect())
+    assert texts == Counter((r["doc_id"], r["n_bytes"]) for r in got)
+    for r in rows:
+        assert r["starts"] == bytepair.offsets(RANKS, np.array(r["ids"], dtype=np.int64))[:-1].tolist()
     assert bytepair.round_trip(messy.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
