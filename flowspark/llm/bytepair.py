@@ -52,6 +52,11 @@ def byte_table(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=4)
+def byte_lengths(path: str) -> np.ndarray:
+    return np.array([len(x) for x in byte_table(path)], dtype=np.int64)
+
+
 def decode(path: str, ids: np.ndarray) -> bytes:
     """The bytes of a list of ids; an id outside the table is an error."""
     return b"".join(map(byte_table(path).__getitem__, ids.tolist()))
@@ -63,8 +68,7 @@ def decode_text(path: str, ids: np.ndarray) -> str:
 
 def offsets(path: str, ids: np.ndarray) -> np.ndarray:
     """The byte position at which each id starts in its text, and the text's length in bytes."""
-    lengths = np.array([len(x) for x in byte_table(path)], dtype=np.int64)
-    return np.concatenate(([0], np.cumsum(lengths[ids])))
+    return np.concatenate(([0], np.cumsum(byte_lengths(path)[ids])))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
