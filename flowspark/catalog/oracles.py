@@ -322,6 +322,19 @@ UNSW_LINE = """CASE WHEN i % 3 = 0 THEN '-' WHEN i % 3 = 1 THEN '0x00' || printf
         CASE WHEN i % 11 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS dp,
         CASE WHEN i % 2 = 0 THEN epoch_us(ts) // 1000000 ELSE epoch_us(ts) // 1000000 * 1000 END AS st"""
 
+#: Twelve full trees of depth three, walked a level at a time: at level l, tree t asks for feature t + l.
+def _walk_step(level: int) -> str:
+    asked = f"CASE (t + {level}) % 4 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_ML)) + " END"
+    name = f"CASE (t + {level}) % 4 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_ML)) + " END"
+    return f"""w{level + 1} AS (SELECT w.* EXCLUDE (node), CASE WHEN {asked} <= median + spread * ((t * 7 + node * 3) % 9 - 4) / 4
+        THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM w{level} w JOIN base ON base.name = {name})"""
+
+
+WALK = f"""WITH {FEATURES}, base AS ({BASELINE}), w0 AS (SELECT feats.*, t, 0 AS node FROM feats, range(12) trees(t)),
+{", ".join(map(_walk_step, range(3)))}
+SELECT seq, round(-pow(2, -(SUM(3 + (t + node) % 5 * 0.5) / 12) / (2 * (ln(255.0) + 0.5772156649015329) - 2 * 255.0 / 256)), 6) AS raw_score
+FROM w3 GROUP BY seq"""
+
 MERGED = f"""WITH {ALERTS},
 keyed AS (SELECT *, CASE alert_type WHEN 'PORT_SCAN' THEN {72 * HOUR_US} WHEN 'BRUTE_FORCE' THEN {120 * HOUR_US}
                          WHEN 'DNS_TUNNELING' THEN {72 * HOUR_US} END AS gap FROM alerts),
@@ -393,6 +406,9 @@ ORACLES: dict[str, str] = {
         for c in ("l_quantity", "l_extendedprice") for p in (0.0, 0.03, 0.5, 0.97, 1.0)),
     "anomaly_groups": f"""WITH {ANOMALY_CTES} SELECT src_ip, dst_ip, severity, anomalous_records, anomaly_score, top_feature,
         top_feature_value, round(z, 2) AS top_feature_z, max_packet_length, max_src_conn_freq, dst_ports, first_us, last_us FROM anomalies""",
+    "forest_walk": WALK,
+    "forest_samples": """SELECT range AS tree, least(256, n) AS rows, least(256, n) AS distinct_rows
+        FROM range(300), (SELECT COUNT(*) AS n FROM events)""",
     "ml_corroborated": f"""WITH {ANOMALY_CTES},
         rules AS (SELECT source_ip, alert_type FROM ({DNS_ALERT}) UNION SELECT source_ip, alert_type FROM ({OFF_ALERT})),
         types AS (SELECT source_ip, string_agg(alert_type, ', ' ORDER BY alert_type) AS t FROM rules GROUP BY source_ip),

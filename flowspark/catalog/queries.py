@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import OffHours, Settings
+from ..config import ML_FEATURES, OffHours, Settings
 from ..operators import containment, incidents as inc, validate
 from ..operators.quantiles import exact_quantiles
 from ..plans import alerts as algebra, beaconing, blocklist, brute_force, dns_tunnel, engine, features, forest
 from ..plans import off_hours, port_scan, summary
 from ..schema import FLOW_FIELDS
-from ..session import pin, shared_dir
+from ..session import pin, shared_dir, stored
 from ..sources import capture, feeds as feed_source, logs
 from ..sources.profiles import NATIVE_HEADER, PROFILES, custom_profile, resolve_layout
 from ..sources.tables import events_flows, events_to_flows, lineitem_flows
@@ -301,6 +301,43 @@ def _(spark, d):
     return plain_alerts(algebra.corroborate(ml, rules))
 
 
+WALK_TREES, WALK_DEPTH = 12, 3
+
+
+def _walk_model(facts: dict) -> forest.ForestModel:
+    """Full trees drawn by rule from the baseline, for any engine to walk: children of node i are 2 i + 1 and
+    2 i + 2, level l of tree t asks for feature t + l, thresholds lie up to a spread from the median."""
+    import pandas as pd
+    nodes, inner = [], 2 ** WALK_DEPTH - 1
+    for tree in range(WALK_TREES):
+        for node in range(2 * inner + 1):
+            level = (node + 1).bit_length() - 1
+            f = (tree + level) % len(ML_FEATURES)
+            median, spread = facts[ML_FEATURES[f]]
+            if node < inner:
+                nodes.append((tree, node, f, median + spread * ((tree * 7 + node * 3) % 9 - 4) / 4, 2 * node + 1, 2 * node + 2, 0.0))
+            else:
+                nodes.append((tree, node, -1, 0.0, node, node, WALK_DEPTH + (tree + node) % 5 * 0.5))
+    return forest.ForestModel(pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "length"]), 256)
+
+
+@query("forest_walk")
+def _(spark, d):
+    """Every flow through trees drawn by rule: what scoring makes of a known model."""
+    rows = stored(_with_features(spark, d).select("seq", *ML_FEATURES), "walked")
+    facts = {r["name"]: (r["median"], r["spread"]) for r in forest.baseline(rows).collect()}      # four rows
+    return forest.score(rows, _walk_model(facts)).select("seq", F.round("raw_score", 6).alias("raw_score"))
+
+
+@query("forest_samples")
+def _(spark, d):
+    """Training rows drawn for each tree: how many, how many distinct."""
+    rows = stored(_with_features(spark, d).select("seq", *ML_FEATURES), "sampled")
+    drawn = forest.draw_samples(rows, EVENTS.forest, rows.count())
+    return drawn.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("seq").alias("distinct_rows"))
+
+
 @query("forest_scores")
 def _(spark, d):
     _, scored, _ = forest.detect_anomalies(events_flows(spark, d), EVENTS)
