@@ -25,7 +25,8 @@ def grown():
 
 
 @pytest.mark.parametrize("name", [
-    "capture_flows"])
+    "capture_flows", "log_file_scan", "parse_custom", "parse_line_quality", "parse_line_rejects", "parse_lines", "parse_mixed_layouts",
+    "parse_mixed_rejects", "parse_native", "parse_native_rejects", "parse_quality", "parse_reason_counts", "parse_reject_sample"])
 def test_query_equals_sql_on_large_keys(spark, grown, name):
     folder, con = grown
     got = entry.queries()[name](spark, folder).toPandas()
