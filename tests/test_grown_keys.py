@@ -26,12 +26,18 @@ def grown():
 
 @pytest.mark.parametrize("name", [
     "capture_flows", "log_file_scan", "parse_custom", "parse_line_quality", "parse_line_rejects", "parse_lines", "parse_mixed_layouts",
-    "parse_mixed_rejects", "parse_native", "parse_native_rejects", "parse_quality", "parse_reason_counts", "parse_reject_sample"])
+    "parse_mixed_rejects", "parse_native", "parse_native_rejects", "parse_quality", "parse_reason_counts", "parse_reject_sample",
+    "port_scan_alerts"])
 def test_query_equals_sql_on_large_keys(spark, grown, name):
     folder, con = grown
     got = entry.queries()[name](spark, folder).toPandas()
     assert len(got) and normal(got) == normal(con.sql(entry.oracle_sql()[name]).df())
 
 
+def test_half_a_tenth_goes_up(spark, grown):
+    found = entry.queries()["port_scan_alerts"](spark, grown[0]).where("description LIKE '% in 1.3s %'").count()
+    assert found == 1000
+
+
 def test_captures_tell_users_apart(spark, grown):
     assert entry.queries()["capture_flows"](spark, grown[0]).select("src_ip").distinct().count() == 1000
