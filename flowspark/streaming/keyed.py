@@ -4,14 +4,19 @@ Rows are counted per (key, instant, cell) before they are dealt out.  A key's st
 rows of the last window (and those that the watermark has not passed), the open incident, and the cells
 of that incident: ports of a scan, resolvers of a tunnel.  Rows become final in time order as the
 watermark passes them; an incident is reported once a later row begins another, or nothing can extend
-it any more.  A timer clears the key two windows after its last row.
+it any more.
+
+A call of Spark for each key costs far more than the few rows that most keys have, so a state is held
+for each of ``BUCKETS`` hashes of the key.  All keys of a bucket are trimmed at once; only keys with more
+rows than the rule allows, and those with an open incident, are walked one by one.  A timer goes through
+the bucket when one of its keys is two windows past its last row.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -23,7 +28,12 @@ from ..plans.sliding import SlidingRule
 
 FOREVER = 1 << 62
 NEVER = -(1 << 62)
-STATE = "mark_us long, last_us long, timer_ms long, body binary"
+#: Fixed for the life of a checkpoint.
+BUCKETS = 4096
+#: A bucket's timer fires at most so many times a window.
+TIMERS = 8
+STATE = "mark_us long, timer_ms long, body binary"
+KEY_STATE = "mark_us long, body binary"
 INCIDENT = "start_us long, end_us long, peak long, events long, bytes long, cells long, first array<string>"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -118,52 +128,132 @@ class KeyState:
         return self
 
 
-def _empty(rule: SlidingRule) -> KeyState:
-    return KeyState(rule.window_us, rule.over, rule.value is not None, rule.limit, rule.numeric)
+def _rows(keys: tuple[str, ...], found: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=[*keys, *[c.split()[0] for c in INCIDENT.split(", ")]])
+
+
+class Bucket:
+    """The keys of one hash: their counted rows, and the open incident (with its cells) of each key that has one."""
+
+    def __init__(self, rule: SlidingRule):
+        self.keys, self.names = list(rule.keys), [*rule.keys, "ts_us", "cell", "n", "bytes"]
+        self.make = (rule.window_us, rule.over, rule.value is not None, rule.limit, rule.numeric)
+        self.mark_us = NEVER
+        self.rows: pd.DataFrame | None = None
+        self.open: dict[tuple, tuple[list[int], dict]] = {}
+
+    def body(self) -> bytes:
+        return pickle.dumps(({c: self.rows[c].to_numpy() for c in self.names} if self.rows is not None else None, self.open))
+
+    def load(self, mark_us: int, body: bytes) -> Bucket:
+        self.mark_us = mark_us
+        rows, self.open = pickle.loads(body)
+        self.rows = None if rows is None else pd.DataFrame(rows)
+        return self
+
+    def add(self, frames: Iterator[pd.DataFrame]) -> None:
+        """Rows later than the mark; earlier ones come too late and are left out."""
+        new = [frame.loc[frame["ts_us"] > self.mark_us, self.names] for frame in frames]
+        parts = [part for part in (self.rows, *new) if part is not None and len(part)]
+        self.rows = pd.concat(parts, ignore_index=True) if parts else None
+
+    def _held(self, key: tuple, part: pd.DataFrame | None) -> KeyState:
+        held = KeyState(*self.make, mark_us=self.mark_us)
+        if part is not None:
+            part = part.sort_values("ts_us", kind="stable")
+            held.ts, held.n, held.bytes = (part[c].to_numpy(np.int64) for c in ("ts_us", "n", "bytes"))
+            held.cell = part["cell"].to_numpy(object)
+        held.open, held.cells = self.open.get(key, (None, {}))
+        return held
+
+    def _by_key(self, rows: pd.DataFrame | None) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        return iter(()) if rows is None else iter(rows.groupby(self.keys, sort=False, dropna=False))
+
+    def states(self) -> Iterator[tuple[tuple, KeyState]]:
+        """Every key with its state."""
+        for key, part in self._by_key(self.rows):
+            yield key, self._held(key, part)
+        known = set() if self.rows is None else set(self.rows[self.keys].itertuples(index=False, name=None))
+        for key in self.open.keys() - known:
+            yield key, self._held(key, None)
 
+    def advance(self, mark_us: int) -> list[tuple]:
+        """Make all rows up to the mark final; the incidents that ended, as keys and INCIDENT."""
+        out, opened, kept, walk = [], {}, [], None
+        idle = set(self.open)
+        if self.rows is not None:
+            group = self.rows.groupby(self.keys, sort=False, dropna=False)
+            # No window holds more than all rows of the key.
+            size = group["ts_us"].transform("size") if self.make[2] else group["n"].transform("sum")
+            busy = (size > self.make[1]).to_numpy()
+            if self.open:
+                busy |= pd.Index(self.rows[self.keys].itertuples(index=False, name=None), tupleize_cols=False).isin(list(self.open))
+            kept.append(self.rows[~busy & (self.rows["ts_us"] > mark_us - self.make[0]).to_numpy()])
+            walk = self.rows[busy]
+
+        def take(key: tuple, held: KeyState) -> None:
+            out.extend((*key, *found) for found in held.advance(mark_us))
+            if held.open:
+                opened[key] = held.open, held.cells
+            if len(held.ts):
+                kept.append(pd.DataFrame({**dict(zip(self.keys, key)), "ts_us": held.ts, "cell": held.cell, "n": held.n, "bytes": held.bytes}))
+        for key, part in self._by_key(walk):
+            idle.discard(key)
+            take(key, self._held(key, part))
+        for key in idle:
+            take(key, self._held(key, None))
+        kept = [part for part in kept if len(part)]
+        self.mark_us, self.open = max(self.mark_us, mark_us), opened
+        self.rows = pd.concat(kept, ignore_index=True)[self.names] if kept else None
+        return out
 
-def _rows(keys: tuple[str, ...], key: tuple, found: list[tuple]) -> pd.DataFrame:
-    names = [*keys, *[c.split()[0] for c in INCIDENT.split(", ")]]
-    return pd.DataFrame([(*key, *row) for row in found], columns=names)
+    def ends_us(self) -> int | None:
+        """When the first key is two windows past its last row; None if there is no key."""
+        last = [end for (_, end, _), _ in self.open.values()]
+        if self.rows is not None:
+            last.append(int(self.rows.groupby(self.keys, sort=False, dropna=False)["ts_us"].max().min()))
+        return min(last) + 2 * self.make[0] if last else None
 
 
 class SlidingProcessor(StatefulProcessor):
-    """KeyState of every key between micro-batches, with a timer that ends it."""
+    """The buckets between micro-batches, each with a timer while it has keys."""
 
     def __init__(self, rule: SlidingRule):
-        self.keys, self.make = rule.keys, (rule.window_us, rule.over, rule.value is not None, rule.limit, rule.numeric)
+        # Parts of the rule are plans, which do not go to the workers.
+        self.rule = replace(rule, **{f: None for f in ("select", "units", "summarise", "alerts", "typed")})
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("key", STATE)
 
-    def _step(self, key: tuple, frames: Iterator[pd.DataFrame], mark_us: int) -> pd.DataFrame:
-        held, last_us, timer = KeyState(*self.make), NEVER, None
+    def _step(self, frames: Iterator[pd.DataFrame], mark_us: int) -> pd.DataFrame:
+        held, timer = Bucket(self.rule), None
         if self.state.exists():
-            mark, last_us, timer, body = self.state.get()
+            mark, timer, body = self.state.get()
             held.load(mark, body)
-        for frame in frames:
-            ts = frame["ts_us"].to_numpy(np.int64)
-            held.add(ts, frame["cell"].to_numpy(object), frame["n"].to_numpy(np.int64), frame["bytes"].to_numpy(np.int64))
-            last_us = max(last_us, int(ts.max(initial=NEVER)))
-        found = held.advance(mark_us)
-        ends = (last_us + 2 * held.window_us) // 1000 + 1
-        if mark_us // 1000 >= ends:                              # nothing can follow from what is left
-            self.state.clear()
-            return _rows(self.keys, key, found)
+        held.add(frames)
+        found = _rows(self.rule.keys, held.advance(mark_us))
+        ends = held.ends_us()
+        if ends is not None:
+            step = max(1, self.rule.window_us // 1000 // TIMERS)
+            ends = -(-max(ends // 1000 + 1, mark_us // 1000 + 1) // step) * step
         if ends != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(ends)
-        self.state.update((held.mark_us, last_us, ends, held.body()))
-        return _rows(self.keys, key, found)
+            if ends is not None:
+                self.handle.registerTimer(ends)
+        if ends is None:
+            self.state.clear()
+        else:
+            self.state.update((held.mark_us, ends, held.body()))
+        return found
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield self._step(key, rows, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield self._step(rows, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._step(key, iter(()), timerValues.getCurrentWatermarkInMs() * 1000)
+        if self.state.exists() and self.state.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            yield self._step(iter(()), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -194,7 +284,8 @@ def _schema(rule: SlidingRule, flows: DataFrame) -> str:
 def incident_stream(flows: DataFrame, rule: SlidingRule, delay_s: float) -> DataFrame:
     """A stream of flows -> the stream of ended incidents (keys and INCIDENT)."""
     at = counted(flows, rule).withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", f"{round(delay_s * 1e6)} microseconds")
-    return at.groupBy(*rule.keys).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(*rule.keys), F.lit(BUCKETS)).cast("int")
+    return at.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         SlidingProcessor(rule), _schema(rule, flows), "append", "eventTime")
 
 
@@ -216,21 +307,33 @@ class SlidingStream:
         """Incidents reported so far."""
         return self.spark.read.schema(_schema(self.rule, self.types)).parquet(self.out)
 
-    def states(self) -> DataFrame:
-        """(key, value) of every key that has state."""
+    def buckets(self) -> DataFrame:
+        """(key, value) of every bucket that has state."""
         return self.spark.read.format("statestore").option("path", self.checkpoint).option("stateVarName", "key").load()
 
-    def unfinished(self) -> DataFrame:
-        """The incidents that the stored states give if no more rows come: a batch job over the state."""
-        rule, keys = self.rule, self.rule.keys
+    def _of_buckets(self, make: Callable[[Bucket], pd.DataFrame], schema: str) -> DataFrame:
+        """A batch job over the stored buckets."""
+        rule = SlidingProcessor(self.rule).rule
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for row in frame.itertuples(index=False):
-                    held = _empty(rule).load(row.mark_us, row.body)
-                    yield _rows(keys, row[:len(keys)], held.advance(FOREVER))
-        rows = self.states().select(*[F.col(f"key.{k}").alias(k) for k in keys], "value.mark_us", "value.body")
-        return rows.mapInPandas(run, _schema(rule, self.types))
+                    yield make(Bucket(rule).load(row.mark_us, row.body))
+        return self.buckets().select("value.mark_us", "value.body").mapInPandas(run, schema)
+
+    def states(self) -> DataFrame:
+        """(key, value) of every key that has state; a value is KEY_STATE."""
+        keys, types = self.rule.keys, dict(self.types.dtypes)
+
+        def each(held: Bucket) -> pd.DataFrame:
+            return pd.DataFrame([(*key, state.mark_us, state.body()) for key, state in held.states()], columns=[*keys, "mark_us", "body"])
+        return self._of_buckets(each, ", ".join([*[f"{k} {types[k]}" for k in keys], KEY_STATE])).select(
+            F.struct(*keys).alias("key"), F.struct("mark_us", "body").alias("value"))
+
+    def unfinished(self) -> DataFrame:
+        """The incidents that the stored states give if no more rows come."""
+        keys = self.rule.keys
+        return self._of_buckets(lambda held: _rows(keys, held.advance(FOREVER)), _schema(self.rule, self.types))
 
     def incidents(self) -> DataFrame:
         return self.rule.typed(self.ended().unionByName(self.unfinished()))
