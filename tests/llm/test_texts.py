@@ -248,6 +248,25 @@ def test_quality_ranking(spark, messy):
     assert quality.scored(messy.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    """The threshold cuts all 30,000 training documents at their share of bad ones, not a sample of them."""
+    rows = [(i, "a" * (i % 97 + 1) + " " + "$" * (i % 89) + f" {i}", int(zlib.crc32(b"%d" % (i * 3)) % 5 > 0)) for i in range(45_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    seen = quality.scored(docs.select("doc_id", "text"), model).where("NOT held_out").join(docs, "doc_id")
+    assert abs(seen.where("predicted = 1").count() - seen.where("quality = 1").count()) <= 8
+
+
+def test_quality_pairs_reach_every_document(spark):
+    """Two bad documents among 1,000: the bad ones go round, every good one meets one of them."""
+    x = [float(j) for j in range(quality.N_FEATURES)]
+    marked = spark.createDataFrame([(i, i >= 2, [float(i)] + x[1:]) for i in range(1000)], "doc_id long, good boolean, x array<double>")
+    groups = quality._groups(marked, 998, 2).collect()
+    better = [v for g in groups for v in g["better"][::quality.N_FEATURES]]
+    assert len(groups) > 1 and all(g["worse"][::quality.N_FEATURES] == [0.0, 1.0] for g in groups)
+    assert sorted(better) == [float(i) for i in range(2, 1000)]
+
+
 def test_labels_of_the_held_out_third_change_nothing(spark):
     docs = spark.createDataFrame([(i, "good text here" if i % 2 else "bad$$$ text###") for i in range(60)], "doc_id long, text string")
     labels = [(i, i % 2) for i in range(60)]
