@@ -12,3 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["anomaly_groups", "detect_all"])
 def test_results_read_stored_steps(spark, name):
     assert not [f for f in entry.queries()[name](spark, FOLDER).inputFiles() if f.endswith("/events.parquet")]
+
+
+def test_off_hours_lists_are_ranked_in_one_table(spark):
+    plan = entry.queries()["off_hours_sources"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Window [") == 1
