@@ -110,3 +110,20 @@ def test_quantiles_of_one_crowded_bucket(spark):
     got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, ["a"], (0.03, 0.5, 1.0)).collect()}
     for p, value in got.items():
         assert value == pytest.approx(np.quantile(values, p), rel=1e-14)
+
+
+def test_parts_grow_with_the_volume(spark, monkeypatch):
+    """Rows of the sliding rules are cut into parts of a bounded size; the incidents stay those of the SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from flowspark.operators import scan
+    from verify import normal
+    monkeypatch.setattr(scan, "PART_ROWS", 500)
+    made, local = [], scan._local
+    monkeypatch.setattr(scan, "_local", lambda *a: made.append(local(*a)) or made[-1])
+    con = duckdb.connect()
+    con.sql("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet'")
+    got = entry.queries()["port_scan_incidents_tied"](spark, "/root/testdata/sf0.001").toPandas()
+    assert normal(got) == normal(con.sql(entry.oracle_sql()["port_scan_incidents_tied"]).df())
+    assert made[1].select("part").distinct().count() > 8
