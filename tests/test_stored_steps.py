@@ -17,3 +17,8 @@ def test_results_read_stored_steps(spark, name):
 def test_off_hours_lists_are_ranked_in_one_table(spark):
     plan = entry.queries()["off_hours_sources"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("Window [") == 1
+
+
+def test_features_join_no_rows(spark):
+    plan = entry.queries()["ml_features"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan and plan.count("Join ") == 1      # with what each part must add: one row a part
